@@ -63,14 +63,22 @@ def rows_of(lookup: Lookup, text: str | None) -> np.ndarray:
     return np.fromiter(map(lookup.__getitem__, tokens), np.int32, len(tokens))
 
 
-def pool(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Mean word vector; long documents are summed in slices. A document without tokens gets zeros."""
-    if not len(rows):
-        return np.zeros(vectors.shape[1], np.float32)
-    total = np.zeros(vectors.shape[1], np.float64)
+def pool(vectors: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Mean word vector, and mean weighted towards rarer words; long documents are summed in slices.
+
+    A document without tokens gets zeros.
+    """
+    dim = vectors.shape[1]
+    total, mass = np.zeros(2 * dim), 1e-9
     for i in range(0, len(rows), 1 << 15):
-        total += vectors[rows[i : i + (1 << 15)]].sum(axis=0)
-    return (total / len(rows)).astype(np.float32)
+        part = rows[i : i + (1 << 15)]
+        v, w = vectors[part], weights[part]
+        total[:dim] += v.sum(axis=0)
+        total[dim:] += w @ v
+        mass += float(w.sum())
+    total[:dim] /= max(1, len(rows))
+    total[dim:] /= mass
+    return total.astype(np.float32)
 
 
 def context_sums(index: np.ndarray, rows: np.ndarray, sums: np.ndarray, window: int = 2) -> None:
@@ -152,6 +160,7 @@ class TextModel:
     constant: list | None
     words: list[str] | None = None
     vectors: np.ndarray | None = None
+    weights: np.ndarray | None = None
     network: Network | None = None
 
 
@@ -180,7 +189,10 @@ def fit(sample: DataFrame, *, vocabulary: int = 8192, dim: int = 64, parts: int
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     top = sample.select("text").mapInPandas(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 3 and length(word) <= 40")
-    words = [r.word for r in top.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    best = top.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    words = [r.word for r in best]
+    share = np.array([r.n for r in best], np.float64) / max(1, sum(r.n for r in best))
+    weights = np.concatenate([np.full(len(SHAPES), 0.01), 1e-3 / (1e-3 + share)]).astype(np.float32)
     rows = len(SHAPES) + len(words)
     shared = spark.sparkContext.broadcast(words)
 
@@ -207,13 +219,13 @@ def fit(sample: DataFrame, *, vocabulary: int = 8192, dim: int = 64, parts: int
     def pooled(batches):
         lookup = lookup_of(shared.value)
         for b in batches:
-            yield pd.DataFrame({"x": [pool(known.value, rows_of(lookup, t)).tobytes() for t in b.text], "y": b.y.astype(str)})
+            yield pd.DataFrame({"x": [pool(known.value, weights, rows_of(lookup, t)).tobytes() for t in b.text], "y": b.y.astype(str)})
 
     got = sample.mapInPandas(pooled, "x binary, y string").collect()
     got.sort(key=lambda r: bytes(r.x))
     names = {str(c): i for i, c in enumerate(classes)}
     x = np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(np.float64)
-    return TextModel(classes, None, words, vectors, fit_network(x, np.array([names[r.y] for r in got]), len(classes)))
+    return TextModel(classes, None, words, vectors, weights, fit_network(x, np.array([names[r.y] for r in got]), len(classes)))
 
 
 def scorer(model: TextModel, spark):
@@ -229,7 +241,7 @@ def scorer(model: TextModel, spark):
             return pd.DataFrame({"n_tokens": [len(TOKEN.findall(t or "")) for t in texts], "p": [m.constant] * len(texts)})
         lookup = own.get("lookup") or own.setdefault("lookup", lookup_of(m.words))
         rows = [rows_of(lookup, t) for t in texts]
-        p = m.network.probabilities(np.stack([pool(m.vectors, r) for r in rows]).astype(np.float64))
+        p = m.network.probabilities(np.stack([pool(m.vectors, m.weights, r) for r in rows]).astype(np.float64))
         return pd.DataFrame({"n_tokens": [len(r) for r in rows], "p": list(p)})
 
     return score

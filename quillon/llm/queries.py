@@ -3,6 +3,7 @@
 from .exact import EXACT_SQL, exact_query
 from .language import language_query
 from .lines import LINES_SQL, lines_query
+from .mixing import mixing_query
 from .near import near_query
 from .packing import packing_query
 from .passages import passages_query
@@ -11,6 +12,7 @@ from .secrets import secrets_query
 from .vectors import VECTORS_SQL, vectors_query
 
 QUERIES = {
+    "op1_mixing": mixing_query,
     "op2_quality": quality_query,
     "op3_packing": packing_query,
     "op4_exact_dedup": exact_query,
