@@ -31,10 +31,10 @@ _B = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of the whole sequence if it is shorter; none without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
+    words = word_hashes((text or "").encode("utf-8", "replace").lower())
+    if not len(words):
         return np.zeros(0, np.uint64)
-    return np.unique(run_hashes(word_hashes(words), min(k, len(words))) + np.uint64(min(k, len(words))))
+    return np.unique(run_hashes(words, min(k, len(words))) + np.uint64(min(k, len(words))))
 
 
 def minhashes(shingle_set: np.ndarray) -> np.ndarray:

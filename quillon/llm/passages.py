@@ -23,8 +23,13 @@ SHARD_WORDS = 200_000
 ODD_2 = np.uint64(0xD6E8FEB86659FD93)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split()
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
+
+
+def digest_of(words: np.ndarray) -> bytes:
+    """Stands for a word sequence."""
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
 def anchors_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +110,9 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
     def survey(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            words = words_of(t)
-            digest = hashlib.sha256(b" ".join(words)).digest()
-            h, at = anchors_of(word_hashes(words), window) if len(words) >= window else (np.zeros(0, np.uint64), [])
-            out.append((len(words), digest, h[np.unique(at, return_index=True)[1]].view(np.int64)))
+            words = word_hashes(encoded(t))
+            h, at = anchors_of(words, window)
+            out.append((len(words), digest_of(words), h[np.unique(at, return_index=True)[1]].view(np.int64)))
         return pd.DataFrame(out, columns=["n_words", "digest", "anchors"])
 
     seen = saved(source.select("id", survey("text").alias("s")).select("id", "s.*").where(F.col("n_words") >= window), "survey")
@@ -125,7 +129,7 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
     def windows(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
         out = []
         for t, wanted in zip(texts, hits):
-            w = word_hashes(words_of(t))
+            w = word_hashes(encoded(t))
             h, _ = anchors_of(w, window)
             starts = np.flatnonzero(np.isin(h, np.asarray(wanted, np.int64).view(np.uint64)))
             h1 = run_hashes(w, window)[starts]
@@ -139,6 +143,8 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
     found = saved(source.select("id", "text").join(hits, F.col("id") == F.col("_id")).select("id", windows("text", "hits").alias("w")).select("id", "w.*").where("size(starts) > 0"), "windows")
     each = found.select("id", F.inline(F.arrays_zip("starts", "first", "h1", "h2")))
     recurring = each.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first_id")
+    # A table of its own, so that the join below may split a phrase that very many documents hold.
+    recurring = saved(recurring, "recurring-windows")
     removable = each.join(recurring, ["h1", "h2"]).where("not first or id > first_id").groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set("starts")).alias("starts"))
     removable = saved(removable, "removable")
     whole = later.select(F.col("id").alias("_id"), F.col("digest")).groupBy("_id").agg(F.collect_set("digest").alias("whole"))
@@ -158,9 +164,9 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
         for b in batches:
             shard, size = [], 0
             for doc_id, known, text, starts, whole in zip(b.id, b.known, b.text, b.starts, b.whole):
-                words = words_of(text)
+                words = encoded(text).split()
                 doc_id = int(doc_id) if known else None
-                if whole is not None and hashlib.sha256(b" ".join(words)).digest() in {bytes(x) for x in whole}:
+                if whole is not None and digest_of(word_hashes(encoded(text))) in {bytes(x) for x in whole}:
                     starts = np.arange(len(words) - window + 1)
                 elif starts is not None and len(starts):
                     starts = np.asarray(starts, np.int64)

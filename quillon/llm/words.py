@@ -1,30 +1,21 @@
-"""Words and runs of words as 64-bit hashes in numpy."""
+"""Words and runs of words as 64-bit hashes in numpy, without a Python object a word."""
+
+import re
 
 import numpy as np
 import xxhash
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Bytes hashed at once, and the length from which words are hashed one by one instead.
+CHUNK, LONG = 1 << 18, 128
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
-
-class WordHashes(dict):
-    """Hashes of words (bytes); remembers a bounded number of them."""
-
-    room = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if self.room:
-            self.room -= 1
-            self[word] = h
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[32, *range(9, 14)]] = False
+_BYTE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64) * _IS_WORD
+_POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * CHUNK, ODD)]))
+_INVERSE = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * CHUNK, np.uint64(pow(int(ODD), -1, 2**64)))]))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -32,10 +23,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _hashed(data: bytes) -> np.ndarray:
+    """One hash a word, from differences of prefix sums of byte values times powers; words of LONG bytes by xxhash."""
+    if len(data) > 2 * CHUNK:  # holds one huge word
+        return np.array([xxhash.xxh64_intdigest(w) if len(w) >= LONG else int(_hashed(w)[0]) for w in data.split()], np.uint64)
+    b = np.frombuffer(data, np.uint8)
+    word = np.zeros(len(b) + 2, bool)
+    word[1:-1] = _IS_WORD[b]
+    starts, ends = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * _POWER[: len(b)], out=sums[1:])
+    lengths = ends - starts
+    h = mixed((sums[ends] - sums[starts]) * _INVERSE[starts] + lengths.astype(np.uint64) * MIX)
+    for i in np.flatnonzero(lengths >= LONG):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return h
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, in order."""
+    out, i = [], 0
+    while i < len(data):
+        j = len(data)
+        if j - i > CHUNK:
+            space = SPACE.search(data, i + CHUNK)
+            j = space.start() if space else j
+        out.append(_hashed(data[i:j]))
+        i = j
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def run_hashes(words: np.ndarray, k: int, odd: np.uint64 = ODD) -> np.ndarray:
     """Hash of each run of k consecutive words; empty if there are fewer."""
     n = max(0, len(words) - k + 1)
     h = np.zeros(n, np.uint64)
     for i in range(k):
-        h = h * odd + words[i : n + i]
+        h *= odd
+        h += words[i : n + i]
     return mixed(h)
