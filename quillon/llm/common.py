@@ -37,7 +37,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1024, mb: int = 16) -> None:
+def bound_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
     """Keep Arrow batches small by rows and by bytes, so that very long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")

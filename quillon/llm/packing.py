@@ -18,7 +18,7 @@ from .common import bound_batches, documents, saved
 #: Appended to each document's ids.
 END_ID = 1
 #: Words remembered with their ids by each Python worker.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Windows that one task of the merging round takes at about the most.
 MERGED = 2048
 
@@ -39,8 +39,10 @@ class WordIds(dict):
     def encode(self, words: list[str]) -> None:
         if len(self) + len(words) > REMEMBERED:
             self.clear()
-        for word, got in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+        for i in range(0, len(words), 2_000):  # an encoding takes far more memory than its ids
+            part = words[i : i + 2_000]
+            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self[word] = b"".join(x.to_bytes(4, "little") for x in got.ids)
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
