@@ -5,8 +5,10 @@ where it fits best; when it fits nowhere the fullest window is emitted, filled b
 What is still open when a partition ends is merged in one further round, as whole windows, largest first.
 """
 
+import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,7 +20,11 @@ from .common import bound_batches, documents, saved
 #: Appended to each document's ids.
 END_ID = 1
 #: Words remembered with their ids by each Python worker.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
+#: Where lower case might depend on context or composition, a text is left to the tokenizer as it is.
+BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
+#: A point or comma alone between a letter and white space is a word of its own.
+MARK = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n])")
 #: Windows that one task of the merging round takes at about the most.
 MERGED = 2048
 
@@ -28,7 +34,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds(dict):
     """Text without spaces or newlines to its ids as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts, in order.
+    The tokenizer lowers case, drops white space and never joins across it, or from a letter to a mark, so a text's
+    ids are those of its parts, in order. The first words seen are remembered, up to a bound.
     """
 
     def __init__(self, path: str):
@@ -36,28 +43,31 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, words: list[str]) -> None:
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
-        for i in range(0, len(words), 2_000):  # an encoding takes far more memory than its ids
-            part = words[i : i + 2_000]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self[word] = b"".join(x.to_bytes(4, "little") for x in got.ids)
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of many words from one call: a token belongs to the word in which it starts."""
+        out = {}
+        for i in range(0, len(words), 4_000):
+            part = words[i : i + 4_000]
+            got = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4").tobytes()
+            ends = np.cumsum([len(w) + 1 for w in part])
+            cuts = np.searchsorted([a for a, _ in got.offsets], ends) * 4
+            at = 0
+            for word, cut in zip(part, cuts.tolist()):
+                out[word] = ids[at:cut]
+                at = cut
+        if len(self) + len(out) <= REMEMBERED:
+            self.update(out)
+        return out
 
     def ids(self, text: str) -> bytes:
+        if not BEYOND_LATIN.search(text):
+            text = MARK.sub(r" \1", text.lower())
         words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            pass
-        out = []
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            if new := list({w for w in part if w not in self}):
-                self.encode(new)
-                if len(new) < len(part) and not all(w in self for w in part):
-                    self.encode(list(set(part)))
-            out.append(b"".join(map(self.__getitem__, part)))
+        out = list(map(self.get, words))
+        if None in out:
+            new = self.encode(list({w for w, x in zip(words, out) if x is None}))
+            out = [new[w] if x is None else x for w, x in zip(words, out)]
         return b"".join(out)
 
 

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -7,10 +8,15 @@ from quillon.llm.packing import pack, tokenizer_file
 SCHEMA = "doc_id long, text string, sequence_id int"
 
 
-def brute_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file())
+    return Tokenizer.from_file(tokenizer_file())
+
+
+def brute_ids(text):
+    t = tokenizer()
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
@@ -37,7 +43,7 @@ def check(rows, texts, size):
 
 
 def test_round_trip_of_odd_texts(spark):
-    texts = {1: None, 2: "", 3: "a", 4: "It's  the\tEND.\n\nof <|endoftext|> x" * 40, 5: "éá ß ΑΣ ΑΣΣ İx 漢字  z\x1cq\r\n12 345", 6: "word " * 9000, 7: "don't we'll I'm" * 3}
+    texts = {1: None, 2: "", 3: "a", 4: "It's  the\tEND.\n\nof <|endoftext|> x" * 40, 5: "éá ß ΑΣ ΑΣΣ İx 漢字  z\x1cq\r\n12 345", 6: "word " * 9000, 8: "A. b, c.d e.. f., 'S it'LL. é. Ü, 9. _. x_, İ. ǅ, e\u0301. ﬁ, \u0345. z" * 9, 7: "don't we'll I'm" * 3}
     docs = spark.createDataFrame([(k, v, 0) for k, v in texts.items()], SCHEMA).repartition(3)
     check(pack(docs, tokenizer_file(), window=64, open_windows=2, min_cut=4).collect(), texts, 64)
 
