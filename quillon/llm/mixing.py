@@ -117,17 +117,6 @@ def rate_column(rates: Rates, n: int):
     return rate(F.struct(*(F.col(f"p{i}") for i in range(n))))
 
 
-def rated(model: TextModel, rates: Rates, spark):
-    """A UDF from text to its rate: one Python worker a task for both the model and the rates."""
-    score = scorer(model, spark).func
-
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series(rates.replay(np.stack(score(texts).p.to_list()))[0])
-
-    return rate
-
-
 def copies_of(rate):
     """Whole copies of a document: the rate rounded up or down by a hash of doc_id, right on average. Null ids hash too."""
     dither = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
@@ -155,13 +144,14 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, *, targets=None, domain=None,
 
     anchor: a domain whose tokens set the total, so that it is kept whole and the others are thinned out to it.
     """
-    spark = docs.sparkSession
     targets = TARGETS if targets is None else targets
     model = fit_domains(docs, labels, domain)
     if not model.classes:
         return docs
     n = len(model.classes)
-    members = saved(memberships(docs.select("doc_id", "text"), model).select("n_tokens", *(f"p{i}" for i in range(n))), "members")
+    # Whole rows are written beside their posteriors: texts are scored once, and the passes of the fit read numbers only.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    members = saved(memberships(rows, model).drop("text"), "members")
     if anchor in model.classes:
         a = f"p{model.classes.index(anchor)}"
         own = members.agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col(a)).alias("a")).first()
@@ -169,8 +159,7 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, *, targets=None, domain=None,
         if own.n and targets.get(anchor):
             how["total"] = own.a / own.n * known / targets[anchor]
     rates = fit_rates(members, model.classes, targets, **how)
-    kept = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", rated(model, rates, spark)(F.col("text")).alias("_rate"))
-    kept = kept.withColumn("_copies", copies_of(F.col("_rate"))).where("_copies > 0")
+    kept = members.withColumn("_copies", copies_of(rate_column(rates, n))).where("_copies > 0")
     return kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
