@@ -25,6 +25,8 @@ REMEMBERED = 300_000
 BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 #: A point or comma alone between a letter and white space is a word of its own.
 MARK = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n])")
+#: A mark that belongs to a longer run of symbols; without one (and without "_"), every mark before white space is alone.
+RUN = re.compile(r"[^\w \n][.,][ \n]")
 #: Windows that one task of the merging round takes at about the most.
 MERGED = 2048
 
@@ -62,7 +64,11 @@ class WordIds(dict):
 
     def ids(self, text: str) -> bytes:
         if not BEYOND_LATIN.search(text):
-            text = MARK.sub(r" \1", text.lower())
+            text = text.lower()
+            if "_" in text or RUN.search(text):
+                text = MARK.sub(r" \1", text)
+            else:
+                text = text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
         words = text.replace("\n", " ").split(" ")
         out = list(map(self.get, words))
         if None in out:

@@ -61,3 +61,15 @@ def test_whole_table(spark, sf_dir):
     rows = pack(docs, tokenizer_file()).collect()
     n = check(rows, texts, 2048)
     assert sum(r.length for r in rows) / (n * 2048) > 0.95
+
+
+def test_word_ids_equal_the_tokenizer_on_odd_marks():
+    import random
+
+    from quillon.llm.packing import WordIds
+
+    words, draw = WordIds(tokenizer_file()), random.Random(1)
+    parts = [*"abzéßAÉ19²¼ªº_.,.,.,  \n\n\t\r\x1c\x85\xa0!?\"'&-", "'s", "İ", "ſ", "... ", ". ", ", ", "word", "ž"]
+    for _ in range(5_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert words.ids(text) + (1).to_bytes(4, "little") == brute_ids(text).tobytes(), text
