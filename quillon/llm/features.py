@@ -5,6 +5,7 @@ rows (``max_rows``); applying the model is a scalar Arrow UDF over every whole t
 """
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,21 +33,45 @@ def shape_of(token: str) -> int:
     return 1 if token.istitle() else 3
 
 
-class Lookup(dict):
-    """Token to row; unseen tokens share the row of their shape. Remembers a bounded number of unseen tokens."""
+class Lookup:
+    """Rows of a text's tokens; unknown tokens share the row of their shape.
 
-    room = 200_000
+    No token reaches across white space, so a text's rows are those of its words, in order. The first words seen are
+    remembered with their rows, up to a bound.
+    """
 
-    def __missing__(self, token: str) -> int:
-        row = shape_of(token)
-        if self.room:
+    def __init__(self, words: list[str], room: int = 200_000):
+        cells = np.arange(len(SHAPES) + len(words), dtype=np.int32).tobytes()
+        cells = [cells[i : i + 4] for i in range(0, len(cells), 4)]
+        self.shapes, self.known = cells[: len(SHAPES)], dict(zip(words, cells[len(SHAPES) :]))
+        self.seen: dict[str, bytes] = {}
+        self.room = room
+
+    def word(self, word: str) -> bytes:
+        out = self.known.get(word) if word.isalpha() else b"".join([self.known.get(t) or self.shapes[shape_of(t)] for t in TOKEN.findall(word)])
+        out = out or self.shapes[shape_of(word)]
+        if self.room and len(word) <= 64:
             self.room -= 1
-            self[token] = row
-        return row
+            self.seen[word] = out
+        return out
+
+    def rows(self, text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        got = list(map(self.seen.get, words))
+        if None in got:
+            got = [self.word(w) if g is None else g for w, g in zip(words, got)]
+        return np.frombuffer(b"".join(got), np.int32)
+
 
+_LOOKUPS: dict[int, Lookup] = {}
 
-def lookup_of(words: list[str]) -> Lookup:
-    return Lookup(zip(words, range(len(SHAPES), len(SHAPES) + len(words))))
+
+def lookup_of(words: list[str], key: int) -> Lookup:
+    """The worker's lookup for the words that key stands for; only the latest is remembered."""
+    if key not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[key] = Lookup(words)
+    return _LOOKUPS[key]
 
 
 def index_vectors(n: int, dim: int, seed: int = 20) -> np.ndarray:
@@ -58,11 +83,6 @@ def index_vectors(n: int, dim: int, seed: int = 20) -> np.ndarray:
     return out
 
 
-def rows_of(lookup: Lookup, text: str | None) -> np.ndarray:
-    tokens = TOKEN.findall(text or "")
-    return np.fromiter(map(lookup.__getitem__, tokens), np.int32, len(tokens))
-
-
 def pool(vectors: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Mean word vector, and mean weighted towards rarer words; long documents are summed in slices.
 
@@ -185,7 +205,11 @@ def fit(sample: DataFrame, *, vocabulary: int = 8192, dim: int = 64, parts: int
         seen: Counter = Counter()
         for b in batches:
             for text in b.text:
-                seen.update(TOKEN.findall(text or ""))
+                seen.update((text or "").split())
+        words, seen = seen, Counter()
+        for word, n in words.items():
+            for token in TOKEN.findall(word):
+                seen[token] += n
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     top = sample.select("text").mapInPandas(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 3 and length(word) <= 40")
@@ -195,13 +219,14 @@ def fit(sample: DataFrame, *, vocabulary: int = 8192, dim: int = 64, parts: int
     weights = np.concatenate([np.full(len(SHAPES), 0.01), 1e-3 / (1e-3 + share)]).astype(np.float32)
     rows = len(SHAPES) + len(words)
     shared = spark.sparkContext.broadcast(words)
+    key = uuid.uuid4().int
 
     def sum_contexts(batches):
-        lookup, index = lookup_of(shared.value), index_vectors(rows, dim)
+        lookup, index = lookup_of(shared.value, key), index_vectors(rows, dim)
         sums = np.zeros((rows, dim), np.float32)
         for b in batches:
             for text in b.text:
-                context_sums(index, rows_of(lookup, text), sums)
+                context_sums(index, lookup.rows(text), sums)
         yield pd.DataFrame([{"block": i, "data": sums[i : i + BLOCK].tobytes()} for i in range(0, rows, BLOCK)])
 
     def merge(block):
@@ -217,9 +242,9 @@ def fit(sample: DataFrame, *, vocabulary: int = 8192, dim: int = 64, parts: int
     known = spark.sparkContext.broadcast(vectors)
 
     def pooled(batches):
-        lookup = lookup_of(shared.value)
+        lookup = lookup_of(shared.value, key)
         for b in batches:
-            yield pd.DataFrame({"x": [pool(known.value, weights, rows_of(lookup, t)).tobytes() for t in b.text], "y": b.y.astype(str)})
+            yield pd.DataFrame({"x": [pool(known.value, weights, lookup.rows(t)).tobytes() for t in b.text], "y": b.y.astype(str)})
 
     got = sample.mapInPandas(pooled, "x binary, y string").collect()
     got.sort(key=lambda r: bytes(r.x))
@@ -231,7 +256,7 @@ def fit(sample: DataFrame, *, vocabulary: int = 8192, dim: int = 64, parts: int
 def scorer(model: TextModel, spark):
     """A UDF from text to (n_tokens, probabilities in the order of model.classes)."""
     shared = spark.sparkContext.broadcast(model)
-    own: dict = {}
+    key = uuid.uuid4().int
     schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
 
     @F.pandas_udf(schema)
@@ -239,8 +264,8 @@ def scorer(model: TextModel, spark):
         m = shared.value
         if m.constant is not None:
             return pd.DataFrame({"n_tokens": [len(TOKEN.findall(t or "")) for t in texts], "p": [m.constant] * len(texts)})
-        lookup = own.get("lookup") or own.setdefault("lookup", lookup_of(m.words))
-        rows = [rows_of(lookup, t) for t in texts]
+        lookup = lookup_of(m.words, key)
+        rows = [lookup.rows(t) for t in texts]
         p = m.network.probabilities(np.stack([pool(m.vectors, m.weights, r) for r in rows]).astype(np.float64))
         return pd.DataFrame({"n_tokens": [len(r) for r in rows], "p": list(p)})
 
