@@ -85,15 +85,19 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
                 total += (b.n_tokens.to_numpy(np.float64) * rates.replay(p)[point]) @ p
             yield pd.DataFrame([total], columns=names)
 
-        row = members.select("n_tokens", *names).mapInPandas(part, ", ".join(f"{a} double" for a in names)).agg(*(F.sum(a).alias(a) for a in names)).first()
+        row = numbers.mapInPandas(part, ", ".join(f"{a} double" for a in names)).agg(*(F.sum(a).alias(a) for a in names)).first()
         return np.array([row[a] for a in names]) / tokens
 
+    numbers = members.select("n_tokens", *names)
+    # Rows of a few numbers: large batches, so that a pass isn't spent on their overhead.
+    bound_batches(members.sparkSession, rows=1 << 16)
     at = m0
     for _ in range(steps):
         if np.abs(at - want).max() <= tolerance * want.max():
             break
         rates.residuals.append(w * (at - want))
         at = sums(1)
+    bound_batches(members.sparkSession)
     return rates
 
 
