@@ -54,10 +54,11 @@ class Rates:
         return r, y
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], *, total: float = 1.0, most: float = 4.0, ridge: float = 1e-3, steps: int = 60, tolerance: float = 2e-3) -> Rates:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], *, total: float = 1.0, most: float = 4.0, ridge: float = 1e-4, steps: int = 60, tolerance: float = 0.01) -> Rates:
     """members: n_tokens, p0, p1, ... in the order of domains. total: expected tokens wanted, as a share of those there are.
 
-    Targets of domains that the model doesn't know are left out and the others scaled up to sum to 1.
+    Targets of domains that the model doesn't know are left out and the others scaled up to sum to 1. Passes end when
+    each domain's tokens are within ``tolerance`` of its target, as a share of it, or of 2 % of all if that is more.
     """
     k = len(domains)
     names = [f"p{i}" for i in range(k)]
@@ -93,7 +94,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     bound_batches(members.sparkSession, rows=1 << 16)
     at = m0
     for _ in range(steps):
-        if np.abs(at - want).max() <= tolerance * want.max():
+        if np.all(np.abs(at - want) <= tolerance * np.maximum(want, 0.02 * total)):
             break
         rates.residuals.append(w * (at - want))
         at = sums(1)
