@@ -29,11 +29,31 @@ def term_stats(posted: DataFrame, lengths: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(queries: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame) -> DataFrame:
-    """queries (query_id, terms) to (query_id, id, bm25), positive scores only. A term counts as often as the query has it."""
+def asked_terms(queries: DataFrame, stats: DataFrame) -> DataFrame:
+    """queries (query_id, terms) to (query_id, term, qtf, idf). A term counts as often as the query has it."""
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    average = lengths.agg(F.avg("dl").alias("avgdl"))
-    hits = posted.join(asked.join(stats.select("term", "idf"), "term"), "term").join(lengths, "id").crossJoin(F.broadcast(average))
+    return asked.join(stats.select("term", "idf"), "term")
+
+
+def summed(hits: DataFrame) -> DataFrame:
+    """hits (query_id, id, qtf, idf, tf, dl, avgdl) to (query_id, id, bm25), positive scores only."""
     tf = F.col("tf")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * weight).alias("bm25")).where("bm25 > 0")
+
+
+def scores(queries: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame) -> DataFrame:
+    """queries (query_id, terms) to (query_id, id, bm25), positive scores only. Reads the postings of the queries' terms."""
+    average = lengths.agg(F.avg("dl").alias("avgdl"))
+    return summed(posted.join(asked_terms(queries, stats), "term").join(lengths, "id").crossJoin(F.broadcast(average)))
+
+
+def batch_postings(corpus: DataFrame) -> DataFrame:
+    """corpus (id, terms), dealt out by id, to (id, term, tf, dl): for batches of long queries, which ask for most postings."""
+    return corpus.select("id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def batch_scores(queries: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame) -> DataFrame:
+    """As scores, with dl in posted: queries come to the postings, and hits are summed before they move."""
+    average = lengths.agg(F.avg("dl").alias("avgdl"))
+    return summed(posted.join(F.broadcast(asked_terms(queries, stats)), "term").crossJoin(F.broadcast(average)))

@@ -81,6 +81,19 @@ def bm25_batch(spark, d):
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score"))
 
 
+def bm25_batch_whole(spark, d):
+    """Every benchmark text with all its words; bm25_batch asks what its SQL does, 20 texts cut to six words."""
+    from ..llm.common import saved
+
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), query_words("text").alias("terms"))
+    texts = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    terms = words(F.lower("text")).alias("terms")
+    posted = saved(bm25.batch_postings(texts.repartition("id").select("id", terms)), "postings")
+    lengths = bm25.doc_lengths(texts.select("id", terms))
+    found = top(bm25.batch_scores(asked, posted, lengths, bm25.term_stats(posted, lengths)), 10, F.desc("bm25"), F.asc("id"))
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score"))
+
+
 def doc_freq(spark, d):
     return body(spark, d)[2].select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -152,6 +165,15 @@ def vector_batch(spark, d):
     return vector_search(vectors(spark, d), vector_queries(spark, d, 10), 5).select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def hundredths(spark, d):
+    """Query vectors whose number grows with the table: the ids divisible by 100."""
+    return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def vector_batch_whole(spark, d):
+    return vector_search(vectors(spark, d), hundredths(spark, d), 5).select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def tiers(spark, d):
     q = spark.createDataFrame([(0, list(TERMS))], "query_id int, terms array<string>")
     fast = top(bm25.scores(q, *body(spark, d)), 10, F.desc("bm25"), F.asc("id")).select("query_id", F.col("id").alias("path"), F.col("bm25").alias("score"), "rank")
@@ -177,6 +199,11 @@ def semantic_threshold(spark, d):
     return near.select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def semantic_threshold_whole(spark, d):
+    near = vector_search(vectors(spark, d), hundredths(spark, d), 10).where("rank <= 5 and score >= 0.3")
+    return near.select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def lookup(spark, d):
     return module_lookup(files(spark, d).select("relative_path"))
 
@@ -280,4 +307,5 @@ QUERIES_BY_NAME = {
     "rrf_fuse": rrf_fuse, "query_driver_modes": driver_modes, "module_lookup": lookup, "dep_edges": dep_edges, "dependents": dependents, "find_related": find_related,
     "incremental_diff": incremental_diff, "incremental_counts": incremental_counts, "incremental_apply": incremental_apply, "embed_cache_split": embed_cache_split,
     "content_sampling": sampling, "embed_sampling": embed_sampling, "index_status": index_status,
+    "bm25_batch_whole": bm25_batch_whole, "vector_batch_whole": vector_batch_whole, "semantic_threshold_whole": semantic_threshold_whole,
 }
