@@ -2,8 +2,8 @@
 
 Runs of ``window`` words that occur again are found by hash: content-selected anchors first, then the windows around
 anchors that recur, grouped over the corpus to the smallest doc_id that holds each. A document's removable windows
-merge into passages. Passages are compiled into Aho-Corasick automata, one for each bounded shard of documents, and
-the shard's documents are streamed through it to locate every occurrence, word by word.
+merge into passages. This join decides what goes: the Aho-Corasick automata, compiled from the passages of a bounded
+shard of one batch's documents, only mark the words of those documents' own passages and change no row.
 """
 
 import hashlib
