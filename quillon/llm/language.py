@@ -1,7 +1,7 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-The matrix of log probabilities (n-gram bucket by language) is broadcast; its size is buckets x languages, fixed by
-``buckets`` and ``max_languages``. Documents are scored in numpy from their sparse bucket counts.
+The matrix of log probabilities (n-gram bucket by language) is broadcast in blocks of at most ``max_languages``
+languages, one pass over the documents for each block. Documents are scored in numpy from their sparse bucket counts.
 """
 
 import re
@@ -41,40 +41,46 @@ def counts_of(text: str, buckets: int) -> np.ndarray:
 
 
 def fit_languages(docs: DataFrame, *, max_rows: int = MAX_ROWS, buckets: int = 1 << 14, max_languages: int = 256):
-    """(languages, log priors, log probabilities [bucket, language]) from text and lang of rows whose crc32(doc_id) mod 4 isn't 2.
+    """Blocks of (languages, log priors, log probabilities [bucket, language]) from text and lang of rows whose crc32(doc_id) mod 4 isn't 2.
 
-    At most ``max_rows`` documents of each of the ``max_languages`` most frequent languages are read. None without any.
+    At most ``max_rows`` documents of each language are read; every language is in one block of at most ``max_languages``. None without any.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     usable = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r.lang for r in sizes)
+    languages = sorted(r.lang for r in usable.select("lang").distinct().collect())
     if not languages:
         return None
     row = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.where(F.col("lang").isin(languages)).select("lang", "doc_id").withColumn("n", row).where(F.col("n") <= max_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = usable.select("lang", "doc_id").withColumn("n", row).where(F.col("n") <= max_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     sample = saved(usable.select("doc_id", "lang", "text").join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text"), "language-sample")
 
-    def count(batches):
-        sums = {x: np.zeros(buckets, np.int64) for x in languages}
-        n = dict.fromkeys(languages, 0)
-        for b in batches:
-            for lang, text in zip(b.lang, b.text):
-                sums[lang] += counts_of(text, buckets)
-                n[lang] += 1
-        yield pd.DataFrame([{"lang": x, "n": n[x], "counts": sums[x].tobytes()} for x in languages if n[x]])
-
     def merge(part):
         total = sum(np.frombuffer(x, np.int64) for x in part.counts)
         return pd.DataFrame({"lang": part.lang.iloc[:1], "n": [part.n.sum()], "counts": [total.tobytes()]})
 
-    kind = "lang string, n long, counts binary"
-    got = {r.lang: r for r in sample.coalesce(16).mapInPandas(count, kind).groupBy("lang").applyInPandas(merge, kind).collect()}
-    languages = [x for x in languages if x in got]
-    counts = np.stack([np.frombuffer(got[x].counts, np.int64) for x in languages], axis=1) + 0.1
-    prior = np.array([got[x].n for x in languages], float)
-    return languages, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    def fitted(block):
+        def count(batches):
+            sums = {x: np.zeros(buckets, np.int64) for x in block}
+            n = dict.fromkeys(block, 0)
+            for b in batches:
+                for lang, text in zip(b.lang, b.text):
+                    sums[lang] += counts_of(text, buckets)
+                    n[lang] += 1
+            yield pd.DataFrame([{"lang": x, "n": n[x], "counts": sums[x].tobytes()} for x in block if n[x]])
+
+        kind = "lang string, n long, counts binary"
+        own = sample if len(block) == len(languages) else sample.where(F.col("lang").isin(block))
+        got = {r.lang: r for r in own.coalesce(16).mapInPandas(count, kind).groupBy("lang").applyInPandas(merge, kind).collect()}
+        block = [x for x in block if x in got]
+        if not block:
+            return None
+        counts = np.stack([np.frombuffer(got[x].counts, np.int64) for x in block], axis=1) + 0.1
+        return block, np.array([got[x].n for x in block], float), np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+    blocks = [x for i in range(0, len(languages), max_languages) if (x := fitted(languages[i : i + max_languages]))]
+    total = sum(n.sum() for _, n, _ in blocks)
+    return [(names, np.log(n / total), logs) for names, n, logs in blocks] or None
 
 
 def predict_languages(docs: DataFrame, model) -> DataFrame:
@@ -85,32 +91,45 @@ def predict_languages(docs: DataFrame, model) -> DataFrame:
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            if text is None or shared.value is None or not LETTER.search(text):
-                out.append(("und", 0.0))
-                continue
-            languages, prior, logs = shared.value
-            z = prior.copy()
-            for b in buckets_of(text, len(logs)):
-                found = np.bincount(b, minlength=len(logs)) if len(b) > len(logs) else None
-                if found is None:
-                    z += logs[b].sum(axis=0, dtype=np.float64)
-                else:
-                    at = found.nonzero()[0]
-                    z += found[at] @ logs[at].astype(np.float64)
-            p = np.exp(z - z.max())
-            k = int(p.argmax())
-            out.append((languages[k], float(p[k] / p.sum())))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+
+    def scored(block):
+        shared = spark.sparkContext.broadcast(block)
+
+        @F.pandas_udf("lang_pred string, z double, mass double")
+        def predict(texts: pd.Series) -> pd.DataFrame:
+            """The block's best language, its log probability, and the block's probability over that of its best."""
+            out = []
+            for text in texts:
+                if text is None or shared.value is None or not LETTER.search(text):
+                    out.append(("und", 0.0, np.inf))
+                    continue
+                languages, prior, logs = shared.value
+                z = prior.copy()
+                for b in buckets_of(text, len(logs)):
+                    found = np.bincount(b, minlength=len(logs)) if len(b) > len(logs) else None
+                    if found is None:
+                        z += logs[b].sum(axis=0, dtype=np.float64)
+                    else:
+                        at = found.nonzero()[0]
+                        z += found[at] @ logs[at].astype(np.float64)
+                k = int(z.argmax())
+                out.append((languages[k], float(z[k]), float(np.exp(z - z[k]).sum())))
+            return pd.DataFrame(out, columns=["lang_pred", "z", "mass"])
+
+        return predict(F.col("text"))
 
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
-    return docs.withColumn("_p", predict(F.col("text"))).select(*kept, held.alias("held_out"), "_p.*")
+    first, *others = model or [None]
+    rows = docs.withColumn("_p", scored(first))
+    for block in others:
+        # A table between blocks: a Python worker holds one block only.
+        both = saved(rows, "language-block").withColumn("_q", scored(block))
+        most = F.greatest("_p.z", "_q.z")
+        mass = F.col("_p.mass") * F.exp(F.col("_p.z") - most) + F.col("_q.mass") * F.exp(F.col("_q.z") - most)
+        best = F.when(F.col("_q.z") > F.col("_p.z"), F.col("_q.lang_pred")).otherwise(F.col("_p.lang_pred"))
+        rows = both.withColumn("_p", F.struct(best.alias("lang_pred"), most.alias("z"), mass.alias("mass"))).drop("_q")
+    return rows.select(*kept, held.alias("held_out"), "_p.lang_pred", (1 / F.col("_p.mass")).alias("score"))
 
 
 def language_query(spark, sf_dir: str) -> DataFrame:
