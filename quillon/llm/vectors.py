@@ -3,7 +3,8 @@
 Identical vectors of a label become one with a count. Pivots split each label's vectors into cells by the nearest
 pivot; a vector is copied to every other cell whose members it could link with: by the triangle inequality on the
 cell's radius, and on the distance to the plane between the two pivots. Cells are then joined independently, each
-counting the links of its own members and emitting a spanning forest instead of all pairs.
+counting the links of its own members and emitting a spanning forest instead of all pairs. A label with no more vectors
+than a cell, or with a share of under two pivots, is one cell without pivots.
 """
 
 import numpy as np
@@ -40,17 +41,17 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
     good = rows.where(usable).select("vec_id", F.array_join(F.array(F.col("label").cast("string"), F.size("e").cast("string")), "/").alias("part"), "e")
     reps = saved(good.groupBy("part", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "vectors")
 
-    # Pivots: a share of each part's vectors, the ones with the smallest hashes.
+    # Pivots: a share of each larger part's vectors, the ones with the smallest hashes.
     sizes = reps.groupBy("part").count()
     total = max(1, reps.count())
-    share = F.greatest(F.lit(1), F.least(F.ceil(F.col("count") / cell), F.floor(F.col("count") * max_pivots / total)))
+    share = F.least(F.ceil(F.col("count") / cell), F.floor(F.col("count") * max_pivots / total))
+    shares = saved(sizes.select("part", "count", share.alias("n")), "shares")
+    split = shares.where("n >= 2").select("part", "n")
+    large = reps.join(split.select("part"), "part", "left_semi")
     row = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("rep"), "rep"))
-    ranked = reps.select("part", "rep").withColumn("r", row).where(F.col("r") <= max_pivots)
-    chosen = ranked.join(sizes.select("part", share.alias("n")), "part").where("r <= n").select("part", "rep", "r")
+    ranked = large.select("part", "rep").withColumn("r", row).where(F.col("r") <= max_pivots)
+    chosen = ranked.join(split, "part").where("r <= n").select("part", "rep", "r")
     pivots = saved(chosen.join(reps, ["part", "rep"]).select("part", F.col("r").cast("int").alias("r"), "e"), "pivots")
-    n_parts = sizes.count()
-    if n_parts > max_pivots:
-        raise ValueError("more labels than pivots; raise max_pivots")
     by_part: dict = {}
     for p in pivots.orderBy("part", "r").collect():
         by_part.setdefault(p.part, []).append(p.e)
@@ -68,7 +69,7 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
                 k = d.argmin(axis=1)
                 yield pd.DataFrame({"part": g.part, "cell": k, "rep": g.rep, "m": g.m, "e": g.e, "d": d[np.arange(len(k)), k]})
 
-    homes = saved(reps.mapInPandas(home, "part string, cell int, rep long, m long, e array<double>, d double"), "homes")
+    homes = saved(large.mapInPandas(home, "part string, cell int, rep long, m long, e array<double>, d double"), "homes")
     cells = homes.groupBy("part", "cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     radius: dict = {}
     blocks: dict = {}
@@ -129,6 +130,11 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
         return pd.concat([counted, forest])
 
     dealt = homes.select("part", "rep", "m", "e").mapInPandas(deal, "part string, cell int, block int, rep long, m long, e array<double>, own boolean")
+    # Parts of one cell: members of one block, candidates of all.
+    n = F.ceil(F.col("count") / BLOCK).cast("int")
+    single = reps.join(shares.where("n < 2").select("part", n.alias("n")), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    own = F.pmod("rep", F.col("n").cast("long")) == F.col("block")
+    dealt = dealt.unionByName(single.select("part", F.lit(0).alias("cell"), "block", F.col("rep").cast("long").alias("rep"), "m", "e", own.alias("own")))
     got = saved(dealt.groupBy("part", "cell", "block").applyInPandas(join, "rep long, n_links long, b long, kind int"), "vector-links")
     found = components(got.where("kind = 1").select(F.col("rep").alias("a"), "b"))
     counts = got.where("kind = 0").select("rep", "n_links")
