@@ -40,6 +40,16 @@ class Engine:
         # Written beside the old table first: the new rows may read it.
         store.write(files, self.folder, "files-next")
         store.write(self.spark.read.parquet(f"{self.folder}/files-next"), self.folder, "files")
+        self.derive()
+        if semantic:
+            say("embedding")
+            self.embed()
+        say("done")
+        total = self.table("files").count()
+        return {"file_count": total, **(changed or {"unchanged": 0, "changed": 0, "new": total, "removed": 0})}
+
+    def derive(self) -> None:
+        """All tables made of the files table, but for the vectors."""
         files = self.table("files")
         store.write(dependency_edges(files), self.folder, "edges")
         corpus = corpus_of(files)
@@ -48,12 +58,6 @@ class Engine:
         store.write(bm25.term_stats(self.table("postings"), self.table("doc_len")), self.folder, "term_stats", sort="term")
         manifest = files.agg(F.count(F.lit(1)).alias("file_count")).withColumns({"root_path": F.lit(self.root), "version": F.lit("1.0.0"), "updated_at": F.current_timestamp(), "model": F.lit(self.config.embedding_model)})
         store.write(manifest, self.folder, "manifest")
-        if semantic:
-            say("embedding")
-            self.embed()
-        say("done")
-        total = files.count()
-        return {"file_count": total, **(changed or {"unchanged": 0, "changed": 0, "new": total, "removed": 0})}
 
     def embed(self) -> None:
         """Vectors of all files: taken from the table where content and model are the same, made for the others."""

@@ -1,9 +1,14 @@
-"""Keep an index up to date from a stream of changed files: each micro-batch replaces the rows of its paths."""
+"""Keep an index up to date from a stream of changed files: each micro-batch replaces the rows of its paths.
+
+The tables made of the files are then written anew, as Engine.index does; vectors only where the index has some.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.text import content_hash
+from ..plans.engine import Engine
 from ..sources import store
 from ..sources.files import indexed
 
@@ -18,6 +23,12 @@ def upsert(spark: SparkSession, folder: str, batch: DataFrame) -> None:
         rows = old.join(rows.select("relative_path"), "relative_path", "left_anti").select(*rows.columns).unionByName(rows)
     store.write(rows, folder, "files-next")
     store.write(spark.read.parquet(f"{folder}/files-next"), folder, "files")
+    manifest = store.read(spark, folder, "manifest")
+    made = None if manifest is None else manifest.first()
+    engine = Engine(spark, made.root_path, Config(embedding_model=made.model), folder) if made else Engine(spark, "", index=folder)
+    engine.derive()
+    if store.exists(spark, folder, "vectors"):
+        engine.embed()
 
 
 def follow(spark: SparkSession, source: str, schema, folder: str, checkpoint: str):
