@@ -34,6 +34,10 @@ CONTROL = ("if", "for", "while", "switch", "catch")
 SLASH_COMMENTS = (Pass(r"//\s*(.+)$", "m"), Pass(r"/\*\s*(.*?)\s*\*/", "s"))
 HASH_COMMENTS = (Pass(r"^\s*#\s*(.+)$", "m"),)
 C_FUNCTION = r"^(?:[\w*&:]+\s+)+(\w+)\s*\([^)]*\)\s*\{"
+RUST_DOC = Pass(r"^\s*///\s*(.+)$", "m")
+GO_BLOCK = Pass(r"import\s*\((.*?)\)", "s")
+PYTHON_ALL = r"(?dUm)^__all__\s*=\s*\[([^\]]*)\]"
+RUST_IMPL = Pass(r"^\s*impl\s+(\w+)", "m")
 SCRIPT = {
     "imports": (Pass(r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]"), Pass(r"require\(\s*['\"]([^'\"]+)['\"]\s*\)")),
     "functions": (
@@ -74,7 +78,7 @@ LANGUAGES: dict[str, dict[str, tuple[Pass, ...]]] = {
     "rust": {
         "imports": (Pass(r"^\s*use\s+([\w:]+)", "m"),),
         "functions": (Pass(r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*[<(]", "m"),),
-        "classes": tuple(Pass(rf"^\s*(?:pub\s+)?{kind}\s+(\w+)", "m") for kind in ("struct", "enum", "trait")),
+        "classes": (Pass(r"^\s*(?:pub\s+)?struct\s+(\w+)", "m"), Pass(r"^\s*(?:pub\s+)?enum\s+(\w+)", "m"), Pass(r"^\s*(?:pub\s+)?trait\s+(\w+)", "m")),
         "exports": (Pass(r"^\s*pub\s+(?:fn|struct|enum|trait|mod|const|static|type)\s+(\w+)", "m"),),
         "comments": SLASH_COMMENTS,
     },
@@ -98,10 +102,6 @@ LANGUAGES: dict[str, dict[str, tuple[Pass, ...]]] = {
         "comments": SLASH_COMMENTS,
     },
 }
-RUST_DOC = Pass(r"^\s*///\s*(.+)$", "m")
-GO_BLOCK = Pass(r"import\s*\((.*?)\)", "s")
-PYTHON_ALL = r"(?dUm)^__all__\s*=\s*\[([^\]]*)\]"
-RUST_IMPL = Pass(r"^\s*impl\s+(\w+)", "m")
 
 
 def _none() -> Column:
@@ -156,17 +156,20 @@ def fields_of(language: str, text: Column) -> dict[str, Column]:
 def extracted(files: DataFrame, languages=None) -> DataFrame:
     """files (language, text, ...) with the five lists added; comments are cut to the first fifty.
 
-    One branch per family of languages, so that each row runs its own patterns only.
+    One projection: each list is a choice by language, so a row runs its own language's patterns only and files are
+    read once. Languages without rules, and null ones, get empty lists.
     """
     wanted = [x for x in (languages or LANGUAGES) if x in LANGUAGES]
-    out = files.where(~F.coalesce(F.col("language"), F.lit("unknown")).isin(*wanted)).withColumns({f: _none() for f in FIELDS})
     families: list[list[str]] = []
     for x in wanted:
         same = next((g for g in families if LANGUAGES[g[0]] is LANGUAGES[x]), None)
         families.append([x]) if same is None else same.append(x)
+    chosen: dict[str, Column] = {}
     for group in families:
-        part = files.where(F.col("language").isin(*group))
-        found = fields_of(group[0], F.col("text"))
+        own = F.col("language").isin(*group)
+        # The UDF of the C family runs on every row: others send it no text.
+        found = fields_of(group[0], F.when(own, F.col("text")) if group[0] in ("c", "cpp") else F.col("text"))
         found["comments"] = F.slice(found["comments"], 1, MOST_COMMENTS)
-        out = out.unionByName(part.withColumns(found))
-    return out
+        for field, value in found.items():
+            chosen[field] = chosen[field].when(own, value) if field in chosen else F.when(own, value)
+    return files.withColumns({f: chosen[f].otherwise(_none()) if f in chosen else _none() for f in FIELDS})

@@ -3,32 +3,44 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The languages and their extensions.
-EXTENSIONS = {
-    "python": ("py",),
-    "javascript": ("js", "jsx"),
-    "typescript": ("ts", "tsx"),
-    "java": ("java",),
-    "go": ("go",),
-    "rust": ("rs",),
-    "c": ("c", "h"),
-    "cpp": ("cpp", "hpp", "cc", "cxx"),
-    "ruby": ("rb",),
-    "php": ("php",),
-    "csharp": ("cs",),
-    "swift": ("swift",),
-    "html": ("html",),
-    "css": ("css",),
-    "text": ("txt", "rst", "log"),
-    "markdown": ("md",),
-    "json": ("json",),
-    "yaml": ("yaml", "yml"),
-    "xml": ("xml",),
-    "csv": ("csv",),
-    "toml": ("toml",),
-    "config": ("ini", "conf", "cfg", "properties", "env"),
+#: The extensions and their languages.
+LANGUAGE_OF = {
+    "py": "python",
+    "js": "javascript",
+    "jsx": "javascript",
+    "ts": "typescript",
+    "tsx": "typescript",
+    "java": "java",
+    "go": "go",
+    "rs": "rust",
+    "c": "c",
+    "h": "c",
+    "cpp": "cpp",
+    "hpp": "cpp",
+    "cc": "cpp",
+    "cxx": "cpp",
+    "rb": "ruby",
+    "php": "php",
+    "cs": "csharp",
+    "swift": "swift",
+    "html": "html",
+    "css": "css",
+    "txt": "text",
+    "rst": "text",
+    "log": "text",
+    "md": "markdown",
+    "json": "json",
+    "yaml": "yaml",
+    "yml": "yaml",
+    "xml": "xml",
+    "csv": "csv",
+    "toml": "toml",
+    "ini": "config",
+    "conf": "config",
+    "cfg": "config",
+    "properties": "config",
+    "env": "config",
 }
-LANGUAGE_OF = {e: language for language, all_of in EXTENSIONS.items() for e in all_of}
 
 
 def extension(path: Column) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 
 #: What splits words: Unicode white space and the four separators that Java doesn't count as such.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: Fixed values of the embedding sample: characters a token, shares of lines taken, shares of the budget, what stands between.
+CHARS_A_TOKEN = 4
+HEAD_LINES, MIDDLE_PART, TAIL_LINES = 0.3, 10, 0.1
+SHARES = (0.4, 0.3, 0.2)
+BETWEEN = "\n\n...\n\n"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -52,12 +57,12 @@ def related_sample(c) -> Column:
 
 def embedding_sample(max_tokens: int = 2048):
     """A UDF: the whole text if it has at most four characters a token, else parts of its head, middle and tail."""
-    budget = max_tokens * 4
-    parts = ((0.4, lambda x: x[: max(1, int(len(x) * 0.3))]), (0.3, lambda x: x[max(0, len(x) // 2 - len(x) // 10) : len(x) // 2 + len(x) // 10]), (0.2, lambda x: x[-max(1, int(len(x) * 0.1)) :]))
+    budget = max_tokens * CHARS_A_TOKEN
+    takes = (lambda x: x[: max(1, int(len(x) * HEAD_LINES))], lambda x: x[max(0, len(x) // 2 - len(x) // MIDDLE_PART) : len(x) // 2 + len(x) // MIDDLE_PART], lambda x: x[-max(1, int(len(x) * TAIL_LINES)) :])
 
     def sample(text: str) -> str:
         lines = text.splitlines()
-        return "\n\n...\n\n".join("\n".join(take(lines))[: int(budget * share)] for share, take in parts)
+        return BETWEEN.join("\n".join(take(lines))[: int(budget * share)] for share, take in zip(SHARES, takes))
 
     @F.pandas_udf("string")
     def prepared(texts: pd.Series) -> pd.Series:
