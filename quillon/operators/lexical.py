@@ -8,8 +8,8 @@ from ..functions.text import query_words
 from . import bm25
 
 WEIGHTS = {"keyword": 0.5, "name": 0.3, "path": 0.2}
-#: Queries that are broadcast to all files; a larger batch is left to the planner.
-FEW_QUERIES = 10_000
+#: Queries, and characters or vector components of theirs, that are broadcast to all files; a larger batch is left to the planner.
+FEW_QUERIES, FEW_CELLS = 10_000, 16_000_000
 
 
 def name_score(query: Column, names: Column) -> Column:
@@ -37,8 +37,11 @@ def matched_terms(query: Column, names: Column, path: Column, most: int = 10) ->
     return F.slice(F.array_distinct(F.flatten(per)), 1, most)
 
 
-def few(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES else queries
+def few(queries: DataFrame, content: str = "query") -> DataFrame:
+    """queries, to be broadcast if they are few and small; content is their text or vector."""
+    size = F.size(content) if dict(queries.dtypes)[content].startswith("array") else F.length(content)
+    n, cells = queries.limit(FEW_QUERIES + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(queries) if n <= FEW_QUERIES and (cells or 0) <= FEW_CELLS else queries
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
@@ -55,12 +58,8 @@ def fast_search(files: DataFrame, queries: DataFrame, k: int, *, posted=None, le
 
     Ranked by the unrounded score, ties by path; the score is rounded to four places after ranking.
     """
-    if posted is None:
-        corpus = corpus_of(files)
-        posted, lengths = bm25.postings(corpus), bm25.doc_lengths(corpus)
-        stats = bm25.term_stats(posted, lengths)
     asked = queries.select("query_id", query_words("query").alias("terms"))
-    keyword = bm25.scores(asked, posted, lengths, stats)
+    keyword = bm25.search(asked, corpus_of(files)) if posted is None else bm25.scores(asked, posted, lengths, stats)
     best = keyword.groupBy("query_id").agg(F.max("bm25").alias("best"))
     keyword = keyword.join(best, "query_id").select("query_id", F.col("id").alias("relative_path"), (F.col("bm25") / F.col("best")).alias("keyword"))
     names = F.concat("functions", "classes")
