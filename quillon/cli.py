@@ -2,6 +2,7 @@
 
 import argparse
 import json
+import sys
 from pathlib import Path
 
 from . import config as settings
@@ -63,6 +64,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "status":
         print(json.dumps(engine.status(), default=str))
     else:
+        if a.command == "find" and not engine.status()["semantic"]:
+            print("warning: no semantic index here, so results come from keywords alone", file=sys.stderr)
         found = engine.search(a.query, max_results=a.max_results) if a.command == "find" else engine.find_related(a.file, max_results=a.max_results or 10)
         for row in found.toJSON().collect():  # at most max_results rows
             print(row)

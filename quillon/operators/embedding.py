@@ -59,6 +59,7 @@ class SentenceModel:
         return self.model.encode([self.prefixes[1] + text], normalize_embeddings=True)[0]
 
 
+#: Model names, widths, windows and prefixes.
 JINA, NOMIC = "jinaai/jina-embeddings-v2-base-code", "nomic-ai/nomic-embed-text-v1.5"
 MODELS = {
     "jina": lambda: SentenceModel(JINA, 768, 2048),

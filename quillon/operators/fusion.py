@@ -33,3 +33,16 @@ def answered(queries: DataFrame, fast: DataFrame, semantic: DataFrame, k: int, t
     alone = fast.join(mode.where("mode = 'fast'"), "query_id").where(F.col("rank") <= k).select(*cols)
     near = semantic.join(mode.where("mode = 'semantic'"), "query_id").where((F.col("rank") <= k) & (F.col("score") >= threshold)).select(*cols)
     return fused(fast, semantic, k).join(mode.where("mode = 'fused'"), "query_id").select(*cols).unionByName(alone).unionByName(near)
+
+
+def enriched(results: DataFrame, fast: DataFrame, files: DataFrame) -> DataFrame:
+    """results with match_type, matched_terms and metadata.
+
+    The keyword tier's own come first; what only the semantic tier found gets the metadata of its index row. A path that
+    has no row (any more) keeps nulls.
+    """
+    told = fast.select("query_id", "path", "match_type", "matched_terms", F.col("metadata").alias("_told"))
+    counts = [F.size(c).alias(c) for c in ("functions", "classes", "imports")]
+    known = files.select(F.col("relative_path").alias("path"), F.struct("language", "size", "line_count", *counts).alias("_known"))
+    out = results.join(told, ["query_id", "path"], "left").join(known, "path", "left")
+    return out.select(*results.columns, "match_type", "matched_terms", F.coalesce("_told", "_known").alias("metadata"))

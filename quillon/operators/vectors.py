@@ -19,7 +19,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Ranked by the raw product, so clamping makes no ties; ties by path. The best vector of a path counts.
     """
-    raw = vectors.crossJoin(few(queries)).withColumn("raw", inner_product(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
+    raw = vectors.crossJoin(few(queries, "vector")).withColumn("raw", inner_product(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
     best = top(raw, 3 * k, F.desc("raw"), F.asc("path"))
     others = [c for c in best.columns if c not in ("query_id", "path", "raw", "rank")]
     best = best.groupBy("query_id", "path").agg(F.max("raw").alias("raw"), *(F.max_by(c, "raw").alias(c) for c in others))
@@ -27,9 +27,17 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def cache_split(current: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """current (relative_path, content_hash, ...) with its cached embedding of this model, or null where it must be made."""
-    own = cache.where(F.col("model") == model).groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
-    return current.join(own, "content_hash", "left")
+    """current (relative_path, content_hash, ...) with its cached embedding of this model, or null where it must be made.
+
+    Where the cache has paths, the entry of the same path and content comes before others of that content.
+    """
+    own = cache.where(F.col("model") == model)
+    by_content = own.groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
+    if "relative_path" not in cache.columns:
+        return current.join(by_content, "content_hash", "left")
+    by_path = own.groupBy("relative_path", "content_hash").agg(F.first("embedding").alias("_same"))
+    both = current.join(by_path, ["relative_path", "content_hash"], "left").join(by_content, "content_hash", "left")
+    return both.withColumn("embedding", F.coalesce("_same", "embedding")).drop("_same")
 
 
 def cache_stats(split: DataFrame) -> DataFrame:

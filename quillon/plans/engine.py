@@ -7,7 +7,7 @@ from ..config import INDEX_FOLDER, Config
 from ..functions.text import content_hash, embedding_sample, related_sample
 from ..operators import bm25
 from ..operators.embedding import create_model, embedded
-from ..operators.fusion import answered
+from ..operators.fusion import answered, enriched
 from ..operators.graph import dependency_edges, related, resolve_target
 from ..operators.incremental import applied, counts, diff
 from ..operators.lexical import corpus_of, fast_search
@@ -27,8 +27,18 @@ class Engine:
         return store.read(self.spark, self.folder, name)
 
     def index(self, *, reindex: bool = False, semantic: bool = True, progress=None) -> dict:
-        """Bring the index up to date by content hash; counts of what changed. progress(phase) is called between phases."""
-        say = progress or (lambda phase: None)
+        """Bring the index up to date by content hash; counts of what changed.
+
+        progress gets {phase, total, current, percent} between phases. If the embedding model can't be loaded, the keyword
+        tier is complete all the same: ``semantic`` is False in the answer and ``note`` says why.
+        """
+        phases = ["scanning", "writing", *(["embedding"] if semantic else []), "done"]
+
+        def say(phase: str) -> None:
+            at, last = phases.index(phase), len(phases) - 1
+            if progress:
+                progress({"phase": phase, "total": last, "current": at, "percent": 100 * at / last})
+
         say("scanning")
         now = scan(self.spark, self.root, self.config).withColumn("content_hash", content_hash("text"))
         old = None if reindex else self.table("files")
@@ -41,12 +51,16 @@ class Engine:
         store.write(files, self.folder, "files-next")
         store.write(self.spark.read.parquet(f"{self.folder}/files-next"), self.folder, "files")
         self.derive()
+        embedded_now: dict = {"semantic": False}
         if semantic:
             say("embedding")
-            self.embed()
+            try:
+                embedded_now = {"semantic": True, **self.embed()}
+            except RuntimeError as e:
+                embedded_now["note"] = str(e)
         say("done")
         total = self.table("files").count()
-        return {"file_count": total, **(changed or {"unchanged": 0, "changed": 0, "new": total, "removed": 0})}
+        return {"file_count": total, **(changed or {"unchanged": 0, "changed": 0, "new": total, "removed": 0}), **embedded_now}
 
     def derive(self) -> None:
         """All tables made of the files table, but for the vectors."""
@@ -56,11 +70,18 @@ class Engine:
         store.write(bm25.postings(corpus), self.folder, "postings", sort="term")
         store.write(bm25.doc_lengths(corpus), self.folder, "doc_len")
         store.write(bm25.term_stats(self.table("postings"), self.table("doc_len")), self.folder, "term_stats", sort="term")
-        manifest = files.agg(F.count(F.lit(1)).alias("file_count")).withColumns({"root_path": F.lit(self.root), "version": F.lit("1.0.0"), "updated_at": F.current_timestamp(), "model": F.lit(self.config.embedding_model)})
+        before = self.table("manifest")
+        first = before.first() if before is not None and "created_at" in before.columns else None
+        created = F.lit(first.created_at) if first else F.current_timestamp()
+        manifest = files.agg(F.count(F.lit(1)).alias("file_count"))
+        manifest = manifest.withColumns({"root_path": F.lit(self.root), "version": F.lit("1.0.0"), "created_at": created, "updated_at": F.current_timestamp(), "model": F.lit(self.config.embedding_model)})
         store.write(manifest, self.folder, "manifest")
 
-    def embed(self) -> None:
-        """Vectors of all files: taken from the table where content and model are the same, made for the others."""
+    def embed(self) -> dict:
+        """Vectors of all files: taken from the table where path or content and model are the same, made for the others.
+
+        Counts: vectors in all, cached, new, and skipped (files without text to embed).
+        """
         key = self.config.embedding_model
         model = create_model(key)
         files = self.table("files").select("relative_path", "content_hash", "language", "line_count", "text")
@@ -68,12 +89,16 @@ class Engine:
         if old is None:
             have = files.withColumn("embedding", F.lit(None).cast("array<float>"))
         else:
-            have = cache_split(files, old.select("content_hash", "model", "embedding"), key)
+            have = cache_split(files, old.select("relative_path", "content_hash", "model", "embedding"), key)
+        have = have.withColumn("cached", F.col("embedding").isNotNull())
         known = have.where("embedding is not null")
         made = have.where("embedding is null").withColumn("embedding", embedded(embedding_sample(model.max_tokens)(F.col("text")), key))
-        rows = known.unionByName(made).drop("text").withColumns({"model": F.lit(key), "indexed_at": F.current_timestamp().cast("string")})
+        rows = known.unionByName(made).where("text is not null").drop("text").withColumns({"model": F.lit(key), "indexed_at": F.current_timestamp().cast("string")})
         store.write(rows, self.folder, "vectors-next")
-        store.write(self.spark.read.parquet(f"{self.folder}/vectors-next"), self.folder, "vectors")
+        written = self.spark.read.parquet(f"{self.folder}/vectors-next")
+        n = written.agg(F.count(F.lit(1)).alias("n"), F.count_if("cached").alias("cached")).first()
+        store.write(written.drop("cached"), self.folder, "vectors")
+        return {"vectors": n.n, "cached": n.cached, "made": n.n - n.cached, "skipped": files.count() - n.n}
 
     def _vectors(self) -> DataFrame | None:
         vectors = self.table("vectors")
@@ -83,12 +108,18 @@ class Engine:
         vectors = self._vectors()
         if vectors is None:
             return None
-        model = create_model(self.config.embedding_model)
+        try:
+            model = create_model(self.config.embedding_model)
+        except RuntimeError:
+            return None
         rows = [(r.query_id, [float(x) for x in model.embed_query(r.query)]) for r in texts.collect()]  # as many as queries asked
         return vector_search(vectors, self.spark.createDataFrame(rows, f"query_id {dict(texts.dtypes)['query_id']}, vector array<float>"), k)
 
     def search(self, queries: str | DataFrame, *, max_results: int | None = None) -> DataFrame:
-        """query_id, path, score, mode, rank of a query or of queries (query_id, query)."""
+        """query_id, path, score, mode, rank, match_type, matched_terms, metadata of a query or of queries (query_id, query).
+
+        Without vectors, or where the model can't be loaded, the keyword tier answers alone.
+        """
         k = max_results or self.config.max_results
         asked = self.spark.createDataFrame([(0, queries)], "query_id int, query string") if isinstance(queries, str) else queries
         files = self.table("files")
@@ -98,7 +129,8 @@ class Engine:
         near = self._similar(asked, 2 * k)
         if near is None:
             near = fast.limit(0).select("query_id", "path", "score", "rank")
-        return answered(asked, fast, near, k, self.config.similarity_threshold).orderBy("query_id", "rank")
+        found = answered(asked, fast, near, k, self.config.similarity_threshold)
+        return enriched(found, fast, files).orderBy("query_id", "rank")
 
     def find_related(self, path: str, *, max_results: int = 10) -> DataFrame:
         """file_path, relationship, score of the files that a file imports, is imported by, or resembles."""

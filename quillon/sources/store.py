@@ -1,8 +1,11 @@
 """Index tables in Parquet, with a JSON export and import of the whole fast tier."""
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "file_count long, root_path string, version string, created_at timestamp, updated_at timestamp, model string"
 TABLES = ("files", "edges", "postings", "doc_len", "term_stats", "vectors", "manifest")
 
 
@@ -19,15 +22,23 @@ def exists(spark: SparkSession, folder: str, table: str) -> bool:
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
-    """None if the table was never written."""
-    return spark.read.parquet(f"{folder}/{table}") if exists(spark, folder, table) else None
+    """None if the table was never written, or its files can't be read as Parquet."""
+    if not exists(spark, folder, table):
+        return None
+    try:
+        return spark.read.parquet(f"{folder}/{table}")
+    except (AnalysisException, Py4JError):
+        return None
 
 
-def export_json(files: DataFrame, edges: DataFrame, folder: str) -> None:
-    """files.json and edges.json: a JSON object a line."""
+def export_json(files: DataFrame, edges: DataFrame, manifest: DataFrame, folder: str) -> None:
+    """One index as three folders of JSON, an object a line: files.json, edges.json, manifest.json."""
     files.drop("text").write.mode("overwrite").json(f"{folder}/files.json")
     edges.write.mode("overwrite").json(f"{folder}/edges.json")
+    manifest.write.mode("overwrite").json(f"{folder}/manifest.json")
 
 
-def import_json(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(f"{folder}/files.json")
+def import_json(spark: SparkSession, folder: str, schema) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files (of this schema), edges and manifest of an exported index."""
+    read = lambda name, kind: spark.read.schema(kind).json(f"{folder}/{name}.json")
+    return read("files", schema), read("edges", "src string, dst string"), read("manifest", MANIFEST)
