@@ -13,11 +13,12 @@ from ..functions.keywords import camel_parts, keywords, path_parts
 from ..functions.languages import indexable, language
 from ..functions.text import content_hash, embedding_sample, line_count, query_words, related_sample, words
 from ..operators import bm25
-from ..operators.fusion import answered, fused
+from ..operators.fusion import answered, enriched, fused
 from ..operators.graph import adjacency, dependency_edges, module_lookup, related
 from ..operators.incremental import applied, counts, diff
-from ..operators.lexical import fast_search, matched_terms, name_score, path_score, top
+from ..operators.lexical import fast_search, few, matched_terms, name_score, path_score, top
 from ..operators.vectors import cache_split, cache_stats, vector_search
+from ..sources.tables import saved
 
 K = 20
 TERMS = ("thinger", "ouon", "the")
@@ -59,32 +60,28 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("keywords", keywords(F.col("relative_path"), F.col("functions"), F.col("classes"), F.col("imports")))
 
 
-def body(spark: SparkSession, d: str):
-    """Postings, lengths and statistics of the documents' bodies."""
-    corpus = documents(spark, d).select(F.col("doc_id").alias("id"), words(F.lower("text")).alias("terms"))
-    posted, lengths = bm25.postings(corpus), bm25.doc_lengths(corpus)
-    return posted, lengths, bm25.term_stats(posted, lengths)
+def body(spark: SparkSession, d: str) -> DataFrame:
+    """(id, terms) of the documents' bodies."""
+    return documents(spark, d).select(F.col("doc_id").alias("id"), words(F.lower("text")).alias("terms"))
 
 
 def bm25_topk(spark, d):
     q = spark.createDataFrame([(0, list(TERMS))], "query_id int, terms array<string>")
-    found = top(bm25.scores(q, *body(spark, d)), K, F.desc("bm25"), F.asc("id"))
+    found = top(bm25.search(q, body(spark, d)), K, F.desc("bm25"), F.asc("id"))
     return found.select(F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score"), "rank")
 
 
 def benchmark_queries(spark, d):
-    return spark.read.parquet(f"{d}/benchmark.parquet").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.slice(query_words("text"), 1, 6).alias("terms"))
+    return spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), query_words("text").alias("terms"))
 
 
 def bm25_batch(spark, d):
-    found = top(bm25.scores(benchmark_queries(spark, d), *body(spark, d)), 10, F.desc("bm25"), F.asc("id"))
+    found = top(bm25.search(benchmark_queries(spark, d), body(spark, d)), 10, F.desc("bm25"), F.asc("id"))
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score"))
 
 
 def bm25_batch_whole(spark, d):
-    """Every benchmark text with all its words; bm25_batch asks what its SQL does, 20 texts cut to six words."""
-    from ..llm.common import saved
-
+    """Every benchmark text with all its words; bm25_batch asks those whose id is divisible by 100."""
     asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), query_words("text").alias("terms"))
     texts = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     terms = words(F.lower("text")).alias("terms")
@@ -95,11 +92,11 @@ def bm25_batch_whole(spark, d):
 
 
 def doc_freq(spark, d):
-    return body(spark, d)[2].select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.corpus_stats(body(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def doc_lengths(spark, d):
-    return body(spark, d)[1].select(F.col("id").alias("doc_id"), "dl")
+    return bm25.doc_lengths(body(spark, d)).select(F.col("id").alias("doc_id"), "dl")
 
 
 def joined(*columns):
@@ -127,7 +124,7 @@ def keyword_set(spark, d):
 
 
 def each_query(spark, d):
-    return index_rows(spark, d).crossJoin(F.broadcast(asked(spark)))
+    return index_rows(spark, d).crossJoin(few(asked(spark)))
 
 
 def name_match(spark, d):
@@ -145,24 +142,33 @@ def matched(spark, d):
 
 
 def fast_composite(spark, d):
-    out = fast_search(index_rows(spark, d), asked(spark), 10)
+    out = fast_search(saved(index_rows(spark, d), "index-rows"), asked(spark), 10)
     return out.select("query_id", "path", "score", "match_type", F.array_join("matched_terms", "|").alias("matched_terms"), "rank", F.col("metadata.functions").alias("n_functions"), F.col("metadata.size").alias("size"))
 
 
+def search_enriched(spark, d):
+    """Fused answers with metadata; the files with the most lines and the longest paths stand in for a semantic tier."""
+    rows = saved(index_rows(spark, d), "index-rows")
+    fast = fast_search(rows, asked(spark), 10)
+    likeness = (F.col("line_count") / 100).alias("score")
+    near = rows.select(F.col("relative_path").alias("path"), likeness).crossJoin(few(asked(spark)))
+    near = top(near, 10, F.desc("score"), F.desc(F.length("path")), F.asc("path")).select("query_id", "path", "score", "rank")
+    out = enriched(answered(asked(spark), fast, near, 8, 0.3), fast, rows)
+    m = F.col("metadata")
+    return out.select("query_id", "path", F.round("score", 8).alias("score"), "mode", "rank", F.coalesce("match_type", F.lit("")).alias("match_type"), F.coalesce(F.array_join("matched_terms", "|"), F.lit("")).alias("matched_terms"),
+                      m.language.alias("language"), m.size.alias("size"), m.line_count.alias("line_count"), m.functions.alias("n_functions"), m.classes.alias("n_classes"), m.imports.alias("n_imports"))
+
+
 def vectors(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("path"), "embedding")
 
 
-def vector_queries(spark, d, n):
-    return spark.read.parquet(f"{d}/embeddings.parquet").where(f"vec_id < {n}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def vector_query(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def vector_topk(spark, d):
-    return vector_search(vectors(spark, d), vector_queries(spark, d, 1), 10).select(F.col("path").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
-
-
-def vector_batch(spark, d):
-    return vector_search(vectors(spark, d), vector_queries(spark, d, 10), 5).select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+    return vector_search(vectors(spark, d), vector_query(spark, d), 10).select(F.col("path").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def hundredths(spark, d):
@@ -170,14 +176,14 @@ def hundredths(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def vector_batch_whole(spark, d):
+def vector_batch(spark, d):
     return vector_search(vectors(spark, d), hundredths(spark, d), 5).select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def tiers(spark, d):
     q = spark.createDataFrame([(0, list(TERMS))], "query_id int, terms array<string>")
-    fast = top(bm25.scores(q, *body(spark, d)), 10, F.desc("bm25"), F.asc("id")).select("query_id", F.col("id").alias("path"), F.col("bm25").alias("score"), "rank")
-    near = vector_search(vectors(spark, d), vector_queries(spark, d, 1).withColumn("query_id", F.lit(0)), 10).select("query_id", "path", "score", "rank")
+    fast = top(bm25.search(q, body(spark, d)), 10, F.desc("bm25"), F.asc("id")).select("query_id", F.col("id").alias("path"), F.col("bm25").alias("score"), "rank")
+    near = vector_search(vectors(spark, d), vector_query(spark, d).withColumn("query_id", F.lit(0)), 10).select("query_id", "path", "score", "rank")
     return fast, near
 
 
@@ -195,11 +201,6 @@ def driver_modes(spark, d):
 
 
 def semantic_threshold(spark, d):
-    near = vector_search(vectors(spark, d), vector_queries(spark, d, 10), 10).where("rank <= 5 and score >= 0.3")
-    return near.select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"))
-
-
-def semantic_threshold_whole(spark, d):
     near = vector_search(vectors(spark, d), hundredths(spark, d), 10).where("rank <= 5 and score >= 0.3")
     return near.select("query_id", F.col("path").alias("vec_id"), F.round("score", 6).alias("score"))
 
@@ -218,7 +219,7 @@ def dependents(spark, d):
 
 def find_related(spark, d):
     target = files(spark, d).agg(F.min("relative_path").alias("t")).first().t
-    near = vector_search(vectors(spark, d), vector_queries(spark, d, 1), 8)
+    near = vector_search(vectors(spark, d), vector_query(spark, d), 8)
     near = near.select(F.concat(F.lit("vec/"), F.col("path").cast("string")).alias("path"), "score")
     return related(dep_edges(spark, d), target, near, 10)
 
@@ -303,9 +304,9 @@ QUERIES_BY_NAME = {
     "content_hash": hashes, "language_map": language_map, "scan_filter": scan_filter, "path_tokens": path_tokens, "camel_split": camel_split,
     "extract_symbols": extract_symbols, "extract_comments": extract_comments, "extract_all_languages": extract_all_languages, "keyword_set": keyword_set,
     "doc_lengths": doc_lengths, "doc_freq": doc_freq, "bm25_topk": bm25_topk, "bm25_batch": bm25_batch, "name_match": name_match, "path_match": path_match,
-    "matched_terms": matched, "fast_composite": fast_composite, "vector_topk": vector_topk, "vector_batch": vector_batch, "semantic_threshold": semantic_threshold,
+    "matched_terms": matched, "fast_composite": fast_composite, "search_enriched": search_enriched, "vector_topk": vector_topk, "vector_batch": vector_batch, "semantic_threshold": semantic_threshold,
     "rrf_fuse": rrf_fuse, "query_driver_modes": driver_modes, "module_lookup": lookup, "dep_edges": dep_edges, "dependents": dependents, "find_related": find_related,
     "incremental_diff": incremental_diff, "incremental_counts": incremental_counts, "incremental_apply": incremental_apply, "embed_cache_split": embed_cache_split,
     "content_sampling": sampling, "embed_sampling": embed_sampling, "index_status": index_status,
-    "bm25_batch_whole": bm25_batch_whole, "vector_batch_whole": vector_batch_whole, "semantic_threshold_whole": semantic_threshold_whole,
+    "bm25_batch_whole": bm25_batch_whole,
 }

@@ -38,8 +38,8 @@ def test_vectors_of_ids_divisible_by_100(spark, sf_dir):
             s = x @ x[i]
             for n, j in enumerate(sorted(range(len(rows)), key=lambda j: (-round(s[j], 12), rows[j][0]))[:5]):
                 want[q, rows[j][0]] = (n + 1, min(1.0, max(0.0, s[j])))
-    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in QUERIES_BY_NAME["vector_batch_whole"](spark, sf_dir).collect()}
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in QUERIES_BY_NAME["vector_batch"](spark, sf_dir).collect()}
     assert {k: r for k, (r, _) in got.items()} == {k: r for k, (r, _) in want.items()}
     assert {k: s for k, (_, s) in got.items()} == pytest.approx({k: s for k, (_, s) in want.items()}, abs=1e-6)
-    near = {(r.query_id, r.vec_id): r.score for r in QUERIES_BY_NAME["semantic_threshold_whole"](spark, sf_dir).collect()}
+    near = {(r.query_id, r.vec_id): r.score for r in QUERIES_BY_NAME["semantic_threshold"](spark, sf_dir).collect()}
     assert near == pytest.approx({k: s for k, (_, s) in want.items() if s >= 0.3}, abs=1e-6)

@@ -6,9 +6,14 @@ from quillon.config import Config, assigned, from_dict, ignoring, load, save
 from quillon.functions.keywords import camel_parts
 from quillon.functions.text import line_count, related_sample
 from quillon.operators import bm25
+from quillon.cli import main
+from quillon.functions.extract import extracted
+from quillon.operators.embedding import create_model
 from quillon.operators.fusion import fused
 from quillon.operators.lexical import name_score, path_score
 from quillon.plans.engine import Engine
+from quillon.sources import store
+from quillon.sources.files import indexed, scan
 from quillon.streaming.ingest import follow
 from pyspark.sql import functions as F
 
@@ -54,6 +59,75 @@ def test_index_search_related(spark, tree):
     assert engine.status()["vector_count"] == 5
 
 
+def test_search_has_metadata(spark, tree):
+    engine = Engine(spark, str(tree), Config(embedding_model="hashing"), index=str(tree) + "-meta")
+    said = []
+    engine.index(progress=said.append)
+    assert [x["phase"] for x in said] == ["scanning", "writing", "embedding", "done"] and said[-1]["percent"] == 100
+    rows = {r.path: r for r in engine.search("validate email", max_results=6).collect()}
+    best = rows["app/validators.py"]
+    assert best.match_type == "composite" and "validate_email" in best.matched_terms
+    assert best.metadata.asDict() == {"language": "python", "size": len(TREE["app/validators.py"]), "line_count": 7, "functions": 1, "classes": 0, "imports": 2}
+    alone = [r for r in rows.values() if r.match_type is None]  # found by the semantic tier only
+    assert alone and all(r.metadata.language for r in alone)
+
+
+def test_without_a_model(spark, tree, capsys, tmp_path):
+    """The default model needs a package that isn't here: the keyword tier is complete and answers with a warning."""
+    engine = Engine(spark, str(tree), Config(), index=str(tree) + "-fast")
+    got = engine.index()
+    assert got["semantic"] is False and "sentence-transformers" in got["note"] and got["file_count"] == engine.table("files").count()
+    assert engine.search("validate email").first().mode == "fast"
+    (tmp_path / "a.py").write_text("def load_file():\n    pass\n")
+    main(["--config", str(tmp_path / "none.toml"), "index", str(tmp_path), "--no-semantic"])
+    main(["--config", str(tmp_path / "none.toml"), "find", "load", "--path", str(tmp_path)])
+    said = capsys.readouterr()
+    assert "no semantic index" in said.err and '"path":"a.py"' in said.out
+    with pytest.raises(ValueError):
+        create_model("nothing")
+
+
+def test_export_import_and_corrupt_tables(spark, tree, tmp_path):
+    engine = Engine(spark, str(tree), Config(), index=str(tree) + "-json")
+    engine.index(semantic=False)
+    engine.index(semantic=False)
+    files, edges, manifest = (engine.table(t) for t in ("files", "edges", "manifest"))
+    first = manifest.first()
+    assert first.created_at < first.updated_at
+    store.export_json(files, edges, manifest, str(tmp_path))
+    again = store.import_json(spark, str(tmp_path), files.drop("text").schema)
+    assert sorted(map(str, again[0].collect())) == sorted(map(str, files.drop("text").collect()))
+    assert sorted(again[1].collect()) == sorted(edges.collect()) and again[2].first().file_count == first.file_count
+    folder = tmp_path / "bad" / "files"
+    folder.mkdir(parents=True)
+    (folder / "_SUCCESS").write_text("")
+    (folder / "part-0.parquet").write_text("no parquet")
+    assert store.read(spark, str(tmp_path / "bad"), "files") is None
+
+
+def test_one_scan(spark, tree):
+    plan = indexed(scan(spark, str(tree)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+SNIPPETS = {
+    "java": ("import java.util.List;\npublic class A {\n  // note\n  public static int run(int x) {\n    if (x) {}\n  }\n}\n", ["java.util.List"], ["run"], ["A"], [], ["note"]),
+    "rust": ("use std::io;\n/// doc\npub fn go(x: u8) {}\npub struct S;\nenum E {}\nimpl S {}\nimpl Other {}\n", ["std::io"], ["go"], ["S", "E", "Other"], ["go", "S"], ["doc", "/ doc"]),
+    "ruby": ("require 'json'\n# note\nmodule M\n  class C\n    def run\n    end\n  end\nend\n", ["json"], ["run"], ["C", "M"], [], ["note"]),
+    "php": ("<?php\nuse App\\Thing;\nrequire_once 'a.php';\nclass C {\n  function run() {}\n}\n/* note */\n", ["App\\Thing", "a.php"], ["run"], ["C"], [], ["note"]),
+    "csharp": ("using System.Text;\npublic class C {\n  public async Task Run() { }\n  private static int Two() { }\n}\n", ["System.Text"], ["Run", "Two"], ["C"], [], []),
+    "python": ("__all__ = ['a', \"b\"]\ndef a():\n    pass\n#!x\n# note\n" + "# more\n" * 60, [], ["a"], [], ["a", "b"], ["note"] + ["more"] * 49),
+    "swift": ("import Foundation\nfunc a() {}\n", [], [], [], [], []),
+}
+
+
+def test_each_language(spark):
+    rows = spark.createDataFrame([(k, v[0]) for k, v in SNIPPETS.items()], "language string, text string")
+    got = {r.language: (r.imports, r.functions, r.classes, r.exports, r.comments) for r in extracted(rows).collect()}
+    for name, (_, *want) in SNIPPETS.items():
+        assert got[name] == tuple(want), name
+
+
 def test_scores(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     names = lambda *x: F.array(*map(F.lit, x))
