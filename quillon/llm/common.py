@@ -1,48 +1,47 @@
-"""Shared plumbing of the training-data operators: where intermediate tables go and how large Arrow batches get."""
+"""Shared plumbing of the training-data operators: names, hashes of ids, and how large Arrow batches get."""
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..sources.tables import forget, saved, shared_dir
 
+__all__ = ["bound_batches", "crc_mod", "documents", "forget", "released", "remembered", "saved", "shared_dir", "unused"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "") or tempfile.mkdtemp(prefix="quillon-")
-        _OWN[app] = base
-    return f"{base.rstrip('/')}/quillon-{spark.sparkContext.applicationId}"
+_KEPT: dict = {}
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once.
+def bound_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
+    """Keep Arrow batches small by rows and by bytes, so that very long texts don't fill a Python worker.
 
-    The tables live until the checkpoint folder of the application is removed.
+    The setting stays: a returned frame needs it when the caller runs it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    # The table replaces the shuffles it came from: their files may go when the write ends.
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bound_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
-    """Keep Arrow batches small by rows and by bytes, so that very long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
+def released() -> None:
+    """Drop what this Python worker remembers, and give the memory back: workers outlive the operator they served."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
+def remembered[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What this Python worker remembers under key; one thing at a time, so that memory doesn't add up over operators."""
+    if key not in _KEPT:
+        released()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column's decimal text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string")) % n
@@ -50,3 +49,13 @@ def crc_mod(column: str, n: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -12,11 +12,12 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("from").alias("f"), F.max("to").alias("t")).where("f > 1 or (f = 1 and t = 1)").isEmpty()
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame, most: int = 200) -> DataFrame:
     """(id, component_id) for every id in links (a, b): the smallest id that links reach. Self links and nulls are ignored.
 
     Each step is a grouping that combines before it moves and a join on the node; no neighbourhood is collected.
-    Every round is written to the shared folder, so lineage stays short.
+    Every round is written to the shared folder, so lineage stays short, and the one before it is deleted. Rounds grow with
+    the logarithm of a component's width; RuntimeError after ``most`` of them rather than a wrong result.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(most):
@@ -30,6 +31,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         # Small star: neighbours below n, and n, go to the smallest of them.
         low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = saved(small.unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, saved(small.unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        forget(before, large)
+    else:
+        raise RuntimeError(f"components not settled after {most} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component_id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, saved
+from .common import bound_batches, forget, remembered, saved
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SHAPES = ("<lower>", "<Title>", "<UPPER>", "<miXed>", "<digits>", "<symbols>")
@@ -63,15 +63,9 @@ class Lookup:
         return np.frombuffer(b"".join(got), np.int32)
 
 
-_LOOKUPS: dict[int, Lookup] = {}
-
-
 def lookup_of(words: list[str], key: int) -> Lookup:
-    """The worker's lookup for the words that key stands for; only the latest is remembered."""
-    if key not in _LOOKUPS:
-        _LOOKUPS.clear()
-        _LOOKUPS[key] = Lookup(words)
-    return _LOOKUPS[key]
+    """The worker's lookup for the words that key stands for."""
+    return remembered(("lookup", key), lambda: Lookup(words))
 
 
 def index_vectors(n: int, dim: int, seed: int = 20) -> np.ndarray:
@@ -247,6 +241,9 @@ def fit(sample: DataFrame, *, vocabulary: int = 8192, dim: int = 64, parts: int
             yield pd.DataFrame({"x": [pool(known.value, weights, lookup.rows(t)).tobytes() for t in b.text], "y": b.y.astype(str)})
 
     got = sample.mapInPandas(pooled, "x binary, y string").collect()
+    shared.destroy()
+    known.destroy()
+    forget(sample)
     got.sort(key=lambda r: bytes(r.x))
     names = {str(c): i for i, c in enumerate(classes)}
     x = np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(np.float64)

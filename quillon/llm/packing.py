@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, saved
+from .common import bound_batches, documents, remembered, saved
 
 #: Appended to each document's ids.
 END_ID = 1
@@ -77,14 +77,9 @@ class WordIds(dict):
         return b"".join(out)
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One for each worker process and path."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    return remembered(("ids", path), lambda: WordIds(path))
 
 
 class OpenWindows:
