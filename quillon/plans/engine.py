@@ -14,10 +14,11 @@ from ..operators.lexical import corpus_of, fast_search
 from ..operators.vectors import cache_split, vector_search
 from ..sources import store
 from ..sources.files import indexed, scan
+from ..sources.tables import forget, saved
 
 
 class Engine:
-    """Holds a session, a root folder and settings; all state is in Parquet tables under the index folder."""
+    """Holds a session, a root folder and settings; all state is in the versions of the index folder."""
 
     def __init__(self, spark: SparkSession, root: str, config: Config = Config(), index: str | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
@@ -40,52 +41,53 @@ class Engine:
                 progress({"phase": phase, "total": last, "current": at, "percent": 100 * at / last})
 
         say("scanning")
-        now = scan(self.spark, self.root, self.config).withColumn("content_hash", content_hash("text"))
-        old = None if reindex else self.table("files")
+        now = saved(scan(self.spark, self.root, self.config).withColumn("content_hash", content_hash("text")), "scanned")
+        next_ = store.Version(self.spark, self.folder)
+        old = None if reindex else next_.read("files")
         if old is None:
             files, changed = indexed(now), None
         else:
             files, changed = applied(old, now, indexed), counts(diff(old, now)).first().asDict()
         say("writing")
-        # Written beside the old table first: the new rows may read it.
-        store.write(files, self.folder, "files-next")
-        store.write(self.spark.read.parquet(f"{self.folder}/files-next"), self.folder, "files")
-        self.derive()
+        next_.write(files, "files")
+        forget(now)
+        self.derive(next_)
         embedded_now: dict = {"semantic": False}
         if semantic:
             say("embedding")
             try:
-                embedded_now = {"semantic": True, **self.embed()}
+                embedded_now = {"semantic": True, **self.embed(next_)}
             except RuntimeError as e:
                 embedded_now["note"] = str(e)
+        next_.commit()
         say("done")
         total = self.table("files").count()
         return {"file_count": total, **(changed or {"unchanged": 0, "changed": 0, "new": total, "removed": 0}), **embedded_now}
 
-    def derive(self) -> None:
+    def derive(self, to: store.Version) -> None:
         """All tables made of the files table, but for the vectors."""
-        files = self.table("files")
-        store.write(dependency_edges(files), self.folder, "edges")
+        files = to.read("files")
+        to.write(dependency_edges(files), "edges")
         corpus = corpus_of(files)
-        store.write(bm25.postings(corpus), self.folder, "postings", sort="term")
-        store.write(bm25.doc_lengths(corpus), self.folder, "doc_len")
-        store.write(bm25.term_stats(self.table("postings"), self.table("doc_len")), self.folder, "term_stats", sort="term")
-        before = self.table("manifest")
+        to.write(bm25.postings(corpus), "postings", sort="term")
+        to.write(bm25.doc_lengths(corpus), "doc_len")
+        to.write(bm25.term_stats(to.read("postings"), to.read("doc_len")), "term_stats", sort="term")
+        before = to.read("manifest")
         first = before.first() if before is not None and "created_at" in before.columns else None
         created = F.lit(first.created_at) if first else F.current_timestamp()
         manifest = files.agg(F.count(F.lit(1)).alias("file_count"))
         manifest = manifest.withColumns({"root_path": F.lit(self.root), "version": F.lit("1.0.0"), "created_at": created, "updated_at": F.current_timestamp(), "model": F.lit(self.config.embedding_model)})
-        store.write(manifest, self.folder, "manifest")
+        to.write(manifest, "manifest")
 
-    def embed(self) -> dict:
+    def embed(self, to: store.Version) -> dict:
         """Vectors of all files: taken from the table where path or content and model are the same, made for the others.
 
         Counts: vectors in all, cached, new, and skipped (files without text to embed).
         """
         key = self.config.embedding_model
         model = create_model(key)
-        files = self.table("files").select("relative_path", "content_hash", "language", "line_count", "text")
-        old = self.table("vectors")
+        files = to.read("files").select("relative_path", "content_hash", "language", "line_count", "text")
+        old = to.read("vectors")
         if old is None:
             have = files.withColumn("embedding", F.lit(None).cast("array<float>"))
         else:
@@ -93,12 +95,10 @@ class Engine:
         have = have.withColumn("cached", F.col("embedding").isNotNull())
         known = have.where("embedding is not null")
         made = have.where("embedding is null").withColumn("embedding", embedded(embedding_sample(model.max_tokens)(F.col("text")), key))
-        rows = known.unionByName(made).where("text is not null").drop("text").withColumns({"model": F.lit(key), "indexed_at": F.current_timestamp().cast("string")})
-        store.write(rows, self.folder, "vectors-next")
-        written = self.spark.read.parquet(f"{self.folder}/vectors-next")
-        n = written.agg(F.count(F.lit(1)).alias("n"), F.count_if("cached").alias("cached")).first()
-        store.write(written.drop("cached"), self.folder, "vectors")
-        return {"vectors": n.n, "cached": n.cached, "made": n.n - n.cached, "skipped": files.count() - n.n}
+        rows = known.unionByName(made).where("text is not null").drop("text", "cached").withColumns({"model": F.lit(key), "indexed_at": F.current_timestamp().cast("string")})
+        n = have.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("text").isNotNull()).alias("n"), F.count_if("cached").alias("cached")).first()
+        to.write(rows, "vectors")
+        return {"vectors": n.n, "cached": n.cached, "made": n.n - n.cached, "skipped": n["all"] - n.n}
 
     def _vectors(self) -> DataFrame | None:
         vectors = self.table("vectors")

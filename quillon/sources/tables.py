@@ -1,5 +1,6 @@
 """Intermediate tables in the folder that driver and executors share."""
 
+import contextlib
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -8,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
+_MADE: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,6 +41,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    _MADE.append(path)
     return out
 
 
@@ -52,3 +55,17 @@ def forget(*tables: DataFrame) -> None:
     for t in tables:
         if path := _PATHS.pop(t, None):
             delete(t.sparkSession, path)
+            if path in _MADE:
+                _MADE.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables saved inside are deleted at the end: for work whose result is written inside."""
+    n = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[n:]:
+            delete(spark, path)
+        del _MADE[n:]

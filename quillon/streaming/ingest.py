@@ -1,6 +1,7 @@
 """Keep an index up to date from a stream of changed files: each micro-batch replaces the rows of its paths.
 
-The tables made of the files are then written anew, as Engine.index does; vectors only where the index has some.
+The tables made of the files are then written anew, as Engine.index does, and switched together; vectors only where the
+index has some.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,17 +19,17 @@ def upsert(spark: SparkSession, folder: str, batch: DataFrame) -> None:
     row = F.row_number().over(Window.partitionBy("relative_path").orderBy(F.desc("modified_time"), F.desc("content_hash")))
     fresh = batch.withColumn("content_hash", content_hash("text")).withColumn("_n", row).where("_n = 1").drop("_n", "content_hash")
     rows = indexed(fresh)
-    old = store.read(spark, folder, "files")
+    to = store.Version(spark, folder)
+    old, manifest = to.read("files"), to.read("manifest")
     if old is not None:
         rows = old.join(rows.select("relative_path"), "relative_path", "left_anti").select(*rows.columns).unionByName(rows)
-    store.write(rows, folder, "files-next")
-    store.write(spark.read.parquet(f"{folder}/files-next"), folder, "files")
-    manifest = store.read(spark, folder, "manifest")
+    to.write(rows, "files")
     made = None if manifest is None else manifest.first()
     engine = Engine(spark, made.root_path, Config(embedding_model=made.model), folder) if made else Engine(spark, "", index=folder)
-    engine.derive()
-    if store.exists(spark, folder, "vectors"):
-        engine.embed()
+    engine.derive(to)
+    if to.read("vectors") is not None:
+        engine.embed(to)
+    to.commit()
 
 
 def follow(spark: SparkSession, source: str, schema, folder: str, checkpoint: str):

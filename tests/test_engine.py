@@ -98,13 +98,38 @@ def test_export_import_and_corrupt_tables(spark, tree, tmp_path):
     again = store.import_json(spark, str(tmp_path), files.drop("text").schema)
     assert sorted(map(str, again[0].collect())) == sorted(map(str, files.drop("text").collect()))
     assert sorted(again[1].collect()) == sorted(edges.collect()) and again[2].first().file_count == first.file_count
-    folder = tmp_path / "bad" / "files"
+    folder = tmp_path / "bad" / "files" / "x"
     folder.mkdir(parents=True)
-    (folder / "_SUCCESS").write_text("")
     (folder / "part-0.parquet").write_text("no parquet")
+    (tmp_path / "bad" / "versions").mkdir()
+    (tmp_path / "bad" / "versions" / "1").write_text('{"files": "files/x"}')
     assert store.read(spark, str(tmp_path / "bad"), "files") is None
 
 
+def test_a_writer_that_dies_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.py").write_text("def first():\n    pass\n")
+    engine = Engine(spark, str(tmp_path), Config(), index=str(tmp_path / "index"))
+    engine.index(semantic=False)
+    (tmp_path / "a.py").write_text("def second():\n    pass\n")
+    whole = store.Version.write
+
+    def dies(self, df, table, **how):
+        if table == "term_stats":
+            raise OSError("lost")
+        whole(self, df, table, **how)
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Version, "write", dies)
+        with pytest.raises(OSError):
+            engine.index(semantic=False)
+    assert engine.table("files").first().functions == ["first"] and engine.search("first").count() == 1
+    (tmp_path / "index" / "versions" / "2").write_text('{"files"')  # a version that was never finished
+    assert engine.table("files").first().functions == ["first"]
+    for _ in range(3):
+        engine.index(semantic=False)
+    assert engine.search("second").count() == 1 and len(store.versions(spark, engine.folder)) == store.KEPT
+
+
 def test_one_scan(spark, tree):
     plan = indexed(scan(spark, str(tree)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
@@ -170,7 +195,7 @@ def test_stream(spark, tmp_path):
     for i, text in enumerate(("def f():\n pass\n", "def g():\n pass\n")):
         spark.createDataFrame([("/r/a.py", "a.py", 1, float(i), None, "python", text)], schema).write.mode("append").parquet(str(tmp_path / "in"))
         follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "index/files")).collect()
+    rows = store.read(spark, str(tmp_path / "index"), "files").collect()
     assert [r.functions for r in rows] == [["g"]]
 
 
