@@ -1,6 +1,9 @@
 """The corpus pipeline: quality filter, exact dedup, near dedup, mixing to target weights, packing.
 
-Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs.
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs. Null and empty
+texts are judged like others by the classifiers, are equal to one another, are near nothing, and are packed as their end id.
+Rows that repeat a doc_id with another text are rows of their own but for near dedup, where a doc_id goes or stays. An
+empty table gives an empty table.
 """
 
 import uuid
@@ -14,6 +17,7 @@ from quillon.llm.near import drop_near_copies
 from quillon.llm.packing import pack, tokenizer_file
 from quillon.llm.quality import keep_quality
 from quillon.session import ship_package
+from quillon.sources.tables import delete, scratch
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def near(spark, docs, sf_dir):
 def mixing(spark, docs, sf_dir):
     """Documents are thinned to the target weights of domains; clean ones set the total and no document is repeated."""
     ship_package(spark)
-    return mixed_rows(docs, _labels(spark, sf_dir), anchor="q1t0", most=1.0, steps=30)
+    return mixed_rows(docs, _labels(spark, sf_dir), anchor="q1t0", most=1.0)
 
 
 def packing(spark, docs, sf_dir):
@@ -57,9 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex[:12]}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
