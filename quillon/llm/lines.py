@@ -5,13 +5,16 @@ runs have already settled, and what is left is added as a new sorted run; runs o
 the next level when there are ``fan_in`` of them. The last compaction says which keys are frequent and where they stay.
 """
 
+import contextlib
 import hashlib
+import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, saved
+from ..sources.tables import delete
+from .common import bound_batches, documents, saved, shared_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -29,20 +32,28 @@ def key_hash(key: bytes, least: int) -> bytes | None:
 
 
 class Runs:
-    """Sorted runs of (key, n_docs, top_id) by level."""
+    """Sorted runs of (key, n_docs, top_id) by level, bucketed by key and sorted in each bucket.
 
-    def __init__(self, min_docs: int, fan_in: int = 4):
-        self.min_docs, self.fan_in, self.levels = min_docs, fan_in, []
+    A new batch is merge-joined with the runs, and runs with one another, bucket by bucket: a run is never moved or
+    sorted again.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, fan_in: int = 2):
+        self.spark, self.min_docs, self.fan_in, self.levels = spark, min_docs, fan_in, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: dict[DataFrame, str] = {}
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     @staticmethod
     def merged(runs: list[DataFrame]) -> DataFrame:
-        all_runs = runs[0]
-        for r in runs[1:]:
-            all_runs = all_runs.unionByName(r)
-        return all_runs.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("top_id").alias("top_id"))
+        """One table of the runs, by full outer merges on the key."""
+        out, *others = runs
+        for r in others:
+            r = r.select("key", F.col("n_docs").alias("n2"), F.col("top_id").alias("top2")).hint("merge")
+            out = out.join(r, "key", "full_outer").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n_docs"), F.greatest("top_id", "top2").alias("top_id"))
+        return out
 
     def add(self, batch: DataFrame) -> None:
         """batch: (key, n_docs, top_id), each key once, with smaller ids than any before.
@@ -50,28 +61,56 @@ class Runs:
         A key that a run has already settled (enough documents there) can't change any more: its largest id is known.
         """
         for r in self.runs():
-            settled = r.where(F.col("n_docs") >= self.min_docs).select(F.col("key").alias("_k"))
-            batch = batch.join(settled, F.col("key") == F.col("_k"), "left_anti")
+            batch = batch.join(r.where(F.col("n_docs") >= self.min_docs).select("key").hint("merge"), "key", "left_anti")
         self.put(0, batch)
 
     def put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(saved(rows.sortWithinPartitions("key"), f"run{level}"))
+        name = f"quillon_run_{uuid.uuid4().hex}"
+        with ordered_scans(self.spark):
+            rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        run = self.spark.table(name)
+        self.names[run] = name
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_in:
-            rows = self.merged(self.levels[level])
-            self.levels[level] = []
-            self.put(level + 1, rows)
+            old, self.levels[level] = self.levels[level], []
+            self.put(level + 1, self.merged(old))
+            self.drop(old)
 
-    def frequent(self) -> DataFrame:
-        return self.merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("key", "top_id")
+    def drop(self, runs: list[DataFrame]) -> None:
+        for r in runs:
+            name = self.names.pop(r)
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{shared_dir(self.spark)}/{name}")
 
-
-def dedup_lines(docs: DataFrame, *, least: int = 40, min_docs: int = 5, batches: int = 3, fan_in: int = 2) -> DataFrame:
+    def frequent(self) -> DataFrame:
+        """(key, top_id) of the keys of enough documents, as a saved table; the runs are dropped."""
+        with ordered_scans(self.spark):
+            out = saved(self.merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("key", "top_id"), "frequent-lines")
+        self.drop(self.runs())
+        self.levels = []
+        return out
+
+
+@contextlib.contextmanager
+def ordered_scans(spark: SparkSession):
+    """Spark trusts the order within buckets of one file each, and plans no sort."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def dedup_lines(docs: DataFrame, *, least: int = 40, min_docs: int = 5, batch_keys: int = 1_000_000, fan_in: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, text, n_lines, n_dropped, kept_text.
 
     Null and empty texts are one empty line. Rows that repeat a doc_id count as one document. A null doc_id counts
-    as one document smaller than all others.
+    as one document smaller than all others. There are three batches, or more where a batch would have over ``batch_keys``
+    keys for each shuffle partition. Columns but doc_id and text are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -82,9 +121,11 @@ def dedup_lines(docs: DataFrame, *, least: int = 40, min_docs: int = 5, batches:
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("doc_id"), F.col("text"))
     keyed = saved(rows.select("id", hashes("text").alias("keys")).where("size(keys) > 0"), "line-keys")
+    runs = Runs(spark, min_docs, fan_in)
+    total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    batches = max(3, -(-total // (batch_keys * runs.buckets)))
     cuts = keyed.select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("c")).first().c or []
     bounds = [None, *sorted(set(cuts), reverse=True), None]
-    runs = Runs(min_docs, fan_in)
     for high, low in zip(bounds, bounds[1:]):
         part = keyed
         if high is not None:
@@ -94,7 +135,7 @@ def dedup_lines(docs: DataFrame, *, least: int = 40, min_docs: int = 5, batches:
         # A document counts once for a key, even if its rows repeat; both groupings combine before they move.
         once = part.select("id", F.explode("keys").alias("key")).distinct()
         runs.add(once.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("top_id")))
-    frequent = saved(runs.frequent(), "frequent-lines")
+    frequent = runs.frequent()
     hits = keyed.select("id", F.explode("keys").alias("key")).join(frequent, "key").where("id < top_id")
     dropped = hits.groupBy("id").agg(F.collect_set("key").alias("dropped"))
 
