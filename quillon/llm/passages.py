@@ -1,9 +1,10 @@
 """Substring dedup by repeated-phrase automata.
 
-Runs of ``window`` words that occur again are found by hash: content-selected anchors first, then the windows around
-anchors that recur, grouped over the corpus to the smallest doc_id that holds each. A document's removable windows
-merge into passages. This join decides what goes: the Aho-Corasick automata, compiled from the passages of a bounded
-shard of one batch's documents, only mark the words of those documents' own passages and change no row.
+Every window of ``window`` words has an anchor, the smallest of the hashes of its short runs of words. Windows around
+anchors that recur are grouped over the corpus by hash: those found twice are recurring, and an example of each, with
+its words, goes to the shard of its anchor. A shard compiles its examples into Aho-Corasick automata, through which the
+segments of all documents around the shard's anchors are streamed. Each occurrence is thereby confirmed word by word, and
+the occurrences decide what goes. Documents without a recurring anchor hold no recurring window.
 """
 
 import hashlib
@@ -13,14 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, saved
-from .words import MIX, run_hashes, word_hashes
+from .common import bound_batches, documents, forget, saved
+from .words import run_hashes, word_hashes
 
 #: Words of an anchor.
 ANCHOR = 8
-#: Words of passages that one automaton holds at most (a longer single document gets its own).
-SHARD_WORDS = 200_000
-ODD_2 = np.uint64(0xD6E8FEB86659FD93)
+#: Windows that the automaton of a shard holds, and segments streamed through one copy of it, at about the most.
+SHARD_WINDOWS, STREAM = 20_000, 20_000
 
 
 def encoded(text: str | None) -> bytes:
@@ -32,6 +32,11 @@ def digest_of(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
+def tag_of(digest: bytes) -> int:
+    """Tells apart rows that repeat a doc_id."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def anchors_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the anchor of each window, anchor's place): the leftmost smallest of the window's runs of ANCHOR words."""
     k = min(ANCHOR, window)
@@ -45,49 +50,34 @@ def anchors_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-def locate(rows: list[tuple[list[bytes], np.ndarray]], window: int) -> list[np.ndarray]:
-    """Per document (words, removable window starts): which words to remove.
+def runs_of(starts: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+    """starts, cut where they aren't consecutive or where by changes."""
+    return np.split(np.arange(len(starts)), np.flatnonzero((np.diff(starts) != 1) | (np.diff(by) != 0)) + 1) if len(starts) else []
+
+
+def occurrences(patterns: list[tuple[str, list[int], int]], segments: list[tuple[int, int, str]], window: int):
+    """Yield (segment number, start, pattern number, id of the pattern's first document) wherever a pattern occurs.
 
-    Passages are the runs of removable windows, cut (with overlap) where one is very long. Each automaton holds a bounded number
-    of passage words, and every document of the shard is streamed through each. An occurrence counts where all of its
-    windows are removable in that document.
+    patterns: (text, offsets of its windows, first id); segments: (id, place of its first word, text).
     """
     import ahocorasick
 
-    groups: list[dict] = [{}]
-    size = 0
-    for words, starts in rows:
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else ():
-            for i in range(0, len(run), SHARD_WORDS):
-                part = run[i : i + SHARD_WORDS]
-                groups[-1][tuple(words[part[0] : part[-1] + window])] = None
-                size += len(part) + window
-                if size >= 2 * SHARD_WORDS:
-                    groups.append({})
-                    size = 0
-    marks, sums = [], []
-    for words, starts in rows:
-        marks.append(np.zeros(len(words) + 1, np.int64))
-        removable = np.zeros(len(words) + 2, np.int64)
-        removable[starts + 1] = 1
-        sums.append(removable.cumsum())
-    for passages in groups:
-        if not passages:
-            continue
-        # One character a word: those of the passages have their own, all others share one that matches nothing.
-        codes = {w: chr(_code(i)) for i, w in enumerate(dict.fromkeys(w for p in passages for w in p), 1)}
-        automaton = ahocorasick.Automaton()
-        for p in passages:
-            automaton.add_word("".join([codes[w] for w in p]), len(p))
-        automaton.make_automaton()
-        other = chr(_code(0))
-        for (words, _), gone, removable in zip(rows, marks, sums):
-            for end, n in automaton.iter("".join([codes.get(w, other) for w in words])):
-                start, last = end - n + 1, end - window + 1
-                if removable[last + 1] - removable[start] == last - start + 1:
-                    gone[start] += 1
-                    gone[end + 1] -= 1
-    return [gone[:-1].cumsum() > 0 for gone in marks]
+    # One character a word: those of the patterns have their own, all others share one that matches nothing.
+    split = [text.split(" ") for text, _, _ in patterns]
+    codes = {w: chr(_code(i)) for i, w in enumerate(dict.fromkeys(w for words in split for w in words), 1)}
+    automaton, n = ahocorasick.Automaton(), 0
+    for words, (_, offsets, first) in zip(split, patterns):
+        coded = "".join([codes[w] for w in words])
+        for o in offsets:
+            automaton.add_word(coded[o : o + window], (n, first))
+            n += 1
+    if not n:
+        return
+    automaton.make_automaton()
+    other = chr(_code(0))
+    for i, (_, start, text) in enumerate(segments):
+        for end, (k, first) in automaton.iter("".join([codes.get(w, other) for w in text.split(" ")])):
+            yield i, start + end - window + 1, k, first
 
 
 def _code(i: int) -> int:
@@ -99,11 +89,12 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window over it has a word sequence that also starts earlier: in a smaller doc_id, or before in
-    the same document. Null text has no words. Null ids sort last and are one document, as are rows that repeat a
-    doc_id; each such row is judged by its own places.
+    the same document. Null, empty and short texts lose nothing. Null ids sort last and are one document, as are rows
+    that repeat a doc_id: each such row loses what starts earlier in any of them, and equal rows nothing by each other.
+    Columns but doc_id and text are not read.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, mb=4)
     source = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"))
 
     @F.pandas_udf("n_words long, digest binary, anchors array<long>")
@@ -121,69 +112,124 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
     later = seen.select("id", "digest").join(firsts.where("m > 1"), "digest").where("id > first_id").select("id", "digest").distinct()
     later = saved(later, "later-copies")
     fresh = seen.join(later.select(F.col("id").alias("_i"), F.col("digest").alias("_g")), (F.col("id") == F.col("_i")) & (F.col("digest") == F.col("_g")), "left_anti")
-    places = fresh.select("id", F.explode("anchors").alias("anchor"))
-    again = places.groupBy("anchor").count().where("count > 1").select("anchor")
-    hits = saved(places.join(again, "anchor").groupBy(F.col("id").alias("_id")).agg(F.collect_set("anchor").alias("hits")), "recurring-anchors")
-
-    @F.pandas_udf("starts array<int>, first array<boolean>, h1 array<long>, h2 array<long>")
+    places = saved(fresh.select("id", F.explode("anchors").alias("anchor")), "anchors")
+    # A table of its own, so that the join below may split an anchor that very many documents hold.
+    again = saved(places.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
+    found_in = saved(places.join(again, "anchor").select(F.col("id").alias("_id"), "anchor"), "places")
+    hits = saved(found_in.groupBy("_id").agg(F.collect_set("anchor").alias("hits")), "recurring-anchors")
+    forget(firsts, places, again, found_in)
+
+    @F.pandas_udf("tag long, starts array<int>, anchors array<long>, hashes array<long>, segments array<struct<anchor:bigint,start:int,text:string>>")
     def windows(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
         out = []
         for t, wanted in zip(texts, hits):
-            w = word_hashes(encoded(t))
-            h, _ = anchors_of(w, window)
+            data = encoded(t)
+            w, words = word_hashes(data), data.split()
+            h, at = anchors_of(w, window)
             starts = np.flatnonzero(np.isin(h, np.asarray(wanted, np.int64).view(np.uint64)))
-            h1 = run_hashes(w, window)[starts]
-            h2 = run_hashes((w ^ (w >> np.uint64(32))) * MIX, window, ODD_2)[starts]
-            first = np.zeros(len(starts), bool)
-            first[np.unique(h1, return_index=True)[1]] = True
-            out.append((starts.astype(np.int32), first, h1.view(np.int64), h2.view(np.int64)))
-        return pd.DataFrame(out, columns=["starts", "first", "h1", "h2"])
-
-    # Rows of later copies share an id with nothing here; rows that repeat an id are told apart by their own windows.
+            anchors = h[starts].view(np.int64)
+            cut = [(int(anchors[r[0]]), int(starts[r[0]]), b" ".join(words[starts[r[0]] : starts[r[-1]] + window]).decode()) for r in runs_of(starts, at[starts])]
+            out.append((tag_of(digest_of(w)), starts.astype(np.int32), anchors, run_hashes(w, window)[starts].view(np.int64), cut))
+        return pd.DataFrame(out, columns=["tag", "starts", "anchors", "hashes", "segments"])
+
     found = saved(source.select("id", "text").join(hits, F.col("id") == F.col("_id")).select("id", windows("text", "hits").alias("w")).select("id", "w.*").where("size(starts) > 0"), "windows")
-    each = found.select("id", F.inline(F.arrays_zip("starts", "first", "h1", "h2")))
-    recurring = each.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first_id")
-    # A table of its own, so that the join below may split a phrase that very many documents hold.
-    recurring = saved(recurring, "recurring-windows")
-    removable = each.join(recurring, ["h1", "h2"]).where("not first or id > first_id").groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set("starts")).alias("starts"))
-    removable = saved(removable, "removable")
-    whole = later.select(F.col("id").alias("_id"), F.col("digest")).groupBy("_id").agg(F.collect_set("digest").alias("whole"))
-    marks = saved(removable.join(whole, "_id", "full_outer"), "marks")
+    each = found.select("id", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("anchors").alias("anchor"), F.col("hashes").alias("hash"))))
+    recurring = each.groupBy("anchor", "hash").agg(F.min("id").alias("first_id"), F.min_by("start", "id").alias("start"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    examples = saved(recurring.groupBy("first_id").agg(F.array_sort(F.collect_list(F.struct("start", "anchor", "hash"))).alias("all")), "recurring-windows")
 
-    def apply(batches):
-        def flush(shard):
-            gone = iter(locate([(w, s) for _, w, s in shard if s is not None], window))
-            rows = [(doc_id, words, None if s is None else next(gone)) for doc_id, words, s in shard]
-            out = []
-            for doc_id, words, drop in rows:
-                kept = words if drop is None else [w for w, d in zip(words, drop) if not d]
-                out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()))
-            out = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text"])
-            return out.assign(doc_id=pd.array([r[0] for r in shard], "Int64"))
+    @F.pandas_udf("array<struct<anchor:bigint,offsets:array<int>,text:string>>")
+    def patterns(texts: pd.Series, examples: pd.Series) -> pd.Series:
+        """The examples that lie in this text, in segments of one anchor each."""
+        out = []
+        for t, rows in zip(texts, examples):
+            data = encoded(t)
+            words, w = data.split(), run_hashes(word_hashes(data), window).view(np.int64)
+            rows = [x for x in rows if x["start"] < len(w) and w[x["start"]] == x["hash"]]
+            starts, anchors = (np.array([x[k] for x in rows], np.int64) for k in ("start", "anchor"))
+            out.append([(int(anchors[r[0]]), [int(s - starts[r[0]]) for s in starts[r]], b" ".join(words[starts[r[0]] : starts[r[-1]] + window]).decode()) for r in runs_of(starts, anchors)])
+        return pd.Series(out)
+
+    shards = max(1, -(-(examples.agg(F.sum(F.size("all"))).first()[0] or 0) // SHARD_WINDOWS))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
+    known = source.join(examples, F.col("id") == F.col("first_id")).select("first_id", F.inline(patterns("text", "all"))).select("first_id", shard, "offsets", "text")
+    known = saved(known.distinct(), "passages")
+    pieces = found.select("id", "tag", F.inline("segments")).select("id", "tag", shard, "start", "text")
+    parts = saved(pieces.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("int").alias("parts")), "shards")
+
+    def stream(pats: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
+        """(id, tag, starts): where a window starts that also starts earlier. All segments of a document around an anchor are here."""
+        segments = list(zip(segs.id.tolist(), segs.start.tolist(), segs.text))
+        own, gone = {}, {}
+        for i, start, k, first in occurrences(list(zip(pats.example, pats.offsets, pats.first_id.tolist())), segments, window):
+            if segments[i][0] != first:
+                gone.setdefault(i, []).append(start)
+            else:
+                own.setdefault(k, []).append((start, i))
+        for places in own.values():  # in the first document all but the first start
+            least = min(places)[0]
+            for start, i in places:
+                if start > least:
+                    gone.setdefault(i, []).append(start)
+        tags = segs.tag.tolist()
+        return pd.DataFrame([(segments[i][0], tags[i], starts) for i, starts in gone.items()], columns=["id", "tag", "starts"])
+
+    small = F.broadcast(parts) if shards <= 100_000 else parts
+    streams = pieces.join(small, "shard").select("shard", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "tag", "start", "text")
+    copies = small.select(F.col("shard").alias("_shard"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("copy"))
+    compiled = known.join(copies, F.col("shard") == F.col("_shard")).select(F.col("shard").alias("of"), "copy", "first_id", "offsets", F.col("text").alias("example"))
+    located = compiled.groupBy("of", "copy").cogroup(streams.groupBy("shard", "part")).applyInPandas(stream, "id long, tag long, starts array<int>")
+    located = saved(located, "occurrences")
+    forget(hits, examples)
+    starts = located.groupBy("id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    tag = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")  # tag_of
+    whole = later.select("id", tag.alias("tag"), F.lit(None).cast("array<int>").alias("starts"))
+    marks = starts.unionByName(whole).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("tag", "starts")).alias("marks"))
+    # Ids of several rows: whose marks are whose is told by their words.
+    several = source.groupBy(F.col("id").alias("_s")).count().where("count > 1").select("_s")
+    marks = saved(marks.join(several, F.col("_id") == F.col("_s"), "left").select("_id", "marks", F.col("_s").isNotNull().alias("several")), "marks")
+
+    def covered(text: bytes, n: int, marks, several: bool) -> np.ndarray:
+        """Which words go."""
+        gone = np.zeros(n + 1, np.int64)
+        own = tag_of(digest_of(word_hashes(text))) if several else None
+        for m in marks:
+            if several and m["tag"] != own:
+                continue
+            if m["starts"] is None:
+                return np.ones(n, bool)
+            at = np.asarray(m["starts"], np.int64)
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + window, -1)
+        return gone[:-1].cumsum() > 0
 
+    def apply(batches):
         for b in batches:
-            shard, size = [], 0
-            for doc_id, known, text, starts, whole in zip(b.id, b.known, b.text, b.starts, b.whole):
-                words = encoded(text).split()
-                doc_id = int(doc_id) if known else None
-                if whole is not None and digest_of(word_hashes(encoded(text))) in {bytes(x) for x in whole}:
-                    starts = np.arange(len(words) - window + 1)
-                elif starts is not None and len(starts):
-                    starts = np.asarray(starts, np.int64)
-                    starts = starts[starts + window <= len(words)]
-                else:
-                    starts = None
-                shard.append((doc_id, words, starts))
-                size += 0 if starts is None else len(starts) + window
-                if size >= SHARD_WORDS:
-                    yield flush(shard)
-                    shard, size = [], 0
-            yield flush(shard)
-
-    joined = source.join(marks, F.col("id") == F.col("_id"), "left").select("id", F.col("doc_id").isNotNull().alias("known"), "text", "starts", "whole")
+            out = []
+            for doc_id, has_id, text, marked, many in zip(b.id, b.known, b.text, b.marks, b.several):
+                data = encoded(text)
+                words = kept = data.split()
+                if marked is not None and len(marked):
+                    kept = [w for w, g in zip(words, covered(data, len(words), marked, bool(many))) if not g]
+                out.append((int(doc_id) if has_id else None, len(words), len(words) - len(kept), b" ".join(kept).decode()))
+            ids = pd.array([r[0] for r in out], "Int64")
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text"]).assign(doc_id=ids)
+
+    joined = source.join(marks, F.col("id") == F.col("_id"), "left").select("id", F.col("doc_id").isNotNull().alias("known"), "text", "marks", "several")
     return joined.mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def passages_query(spark, sf_dir: str) -> DataFrame:
     out = repeated_passages(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) t(i)),
+f AS (SELECT s, min(struct_pack(d := doc_id, i := i)) AS f FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM win JOIN f USING (s) WHERE struct_pack(d := doc_id, i := i) > f),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d)
+SELECT d.doc_id, count(x.j) AS n_words, count(gone.j) AS n_removed, sha256(coalesce(string_agg(x.x, ' ' ORDER BY x.j) FILTER (gone.j IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.j = x.j
+GROUP BY d.doc_id
+"""
