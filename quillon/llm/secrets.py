@@ -1,10 +1,12 @@
 """Secret scans through a trigram inverted index, with DataFrame functions only.
 
-From each rule's regex a Boolean query over trigrams is derived: what every match must contain. The index has a
-posting (trigram, doc_id) for each trigram that some query names. Postings are intersected per document, rules are
-verified on their candidates only; a rule without mandatory trigrams scans every text.
+From each rule's regex a Boolean query over trigrams is derived: what every match must contain. The index has, for each
+trigram that some query names, the list of its documents as bits of blocks of ids. A query reads the lists of its own
+trigrams and intersects and unites them block by block; rules are verified on their candidates only, and a rule without
+mandatory trigrams scans every text.
 """
 
+import functools
 import itertools
 import re._parser as parser
 from dataclasses import dataclass
@@ -37,6 +39,8 @@ RULES = (
 )
 
 MOST_STRINGS = 64
+#: Documents of a block of posting lists: bits of a long without its sign.
+BLOCK = 63
 
 
 def _strings(node) -> set[str] | None:
@@ -105,42 +109,48 @@ def trigram_query(pattern: str) -> list[set[frozenset[str]]]:
     return _of_sequence(parser.parse(pattern))
 
 
-def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, rules): for each document, bits of the rules whose trigram query its postings satisfy.
+def block_of(doc_id) -> Column:
+    """Documents come in blocks of BLOCK neighbouring ids; null ids have a block of their own."""
+    return F.coalesce(F.expr(f"{doc_id} div {BLOCK}"), F.lit(-(2**62)))
+
+
+def bit_of(doc_id) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(F.pmod(F.col(doc_id), F.lit(BLOCK)), F.lit(0)).cast("int"))
+
 
-    Postings are kept for the trigrams that queries name, up to 63; null ids have postings of their own.
+def index(docs: DataFrame, grams: list[str]) -> DataFrame:
+    """Posting lists (gram, block, docs) of the lower-cased texts, sorted by gram: the bits of docs are the block's documents.
+
+    Lists combine before they move; only the grams that queries name are kept.
     """
-    wanted = {r.kind: trigram_query(r.pattern) for r in rules}
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
+    found = docs.select("doc_id", F.lower("text").alias("low")).select(block_of("doc_id").alias("block"), bit_of("doc_id").alias("bit"), F.explode(held).alias("gram"))
+    lists = found.groupBy("gram", "block").agg(F.bit_or("bit").alias("docs"))
+    return saved(lists.sortWithinPartitions("gram", "block"), "postings")
+
+
+def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
+    """(block, <kind> for each rule with mandatory trigrams): the documents whose postings satisfy the rule's query, as bits."""
+    wanted = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in wanted.values() for alternatives in q for a in alternatives for g in a})
     if not grams:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("rules")).limit(0)
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
-    postings = saved(low.select("doc_id", F.explode(held).alias("gram")), "postings")
-    words = -(-len(grams) // 62)
-    lists = postings.groupBy("doc_id").agg(*(F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, F.expr(f"shiftleft(1L, cast(gram % 62 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)))
-    at = {g: (f"w{i // 62}", 1 << (i % 62)) for i, g in enumerate(grams)}
-
-    def all_of(some: frozenset) -> Column:
-        out = F.lit(True)
-        for w in range(words):
-            mask = sum(at[g][1] for g in some if at[g][0] == f"w{w}")
-            if mask:
-                out = out & (F.col(f"w{w}").bitwiseAND(F.lit(mask)) == mask)
-        return out
-
-    bits = F.lit(0).cast("long")
-    for i, r in enumerate(rules):
-        if not wanted[r.kind]:
-            continue
-        holds = F.lit(True)
-        for alternatives in wanted[r.kind]:
-            one = F.lit(False)
-            for a in sorted(alternatives, key=sorted):
-                one = one | all_of(a)
-            holds = holds & one
-        bits = bits + F.when(holds, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return lists.select("doc_id", bits.alias("rules")).where("rules > 0")
+        return docs.select(F.lit(0).cast("long").alias("block")).limit(0)
+    at = {g: f"g{i}" for i, g in enumerate(grams)}
+    none = F.lit(0).cast("long")
+    lists = index(docs, grams).groupBy("block").agg(*(F.coalesce(F.bit_or(F.when(F.col("gram") == g, F.col("docs"))), none).alias(c) for g, c in at.items()))
+
+    def both(x: Column, y: Column) -> Column:
+        return x.bitwiseAND(y)
+
+    def either(x: Column, y: Column) -> Column:
+        return x.bitwiseOR(y)
+
+    masks = {
+        kind: functools.reduce(both, (functools.reduce(either, (functools.reduce(both, (F.col(at[g]) for g in sorted(some))) for some in sorted(alternatives, key=sorted))) for alternatives in query))
+        for kind, query in wanted.items()
+    }
+    out = lists.select("block", *(m.alias(k) for k, m in masks.items()))
+    return out.where(functools.reduce(either, (F.col(k) for k in masks)) != 0)
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -175,14 +185,14 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     Null text counts as empty and has no spans. Rows that repeat a doc_id share their candidates and are verified each.
     """
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = saved(candidates(text, rules), "candidates").select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-    both = text.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    found = saved(candidates(text, rules), "candidates")
+    both = text.withColumn("block", block_of("doc_id")).join(found, "block", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     columns = {}
     for i, r in enumerate(rules):
         candidate = F.col("text").rlike(r.pattern)
         if trigram_query(r.pattern):
-            candidate = (F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) & candidate
+            candidate = (F.coalesce(F.col(r.kind), F.lit(0)).bitwiseAND(bit_of("doc_id")) != 0) & candidate
         columns[f"s_{r.kind}"] = F.when(candidate, spans_of(F.col("text"), r, i)).otherwise(none)
     got = both.select("doc_id", *(c.alias(k) for k, c in columns.items()))
     base = F.array_sort(F.concat(*(f"s_{r.kind}" for r in rules if r.base)))
@@ -194,3 +204,26 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
 def secrets_query(spark, sf_dir: str) -> DataFrame:
     out = find_secrets(documents(spark, sf_dir))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
+def _secrets_sql() -> str:
+    """The rules in SQL: lengths of the texts between matches and of the matches give the places."""
+    found = []
+    for i, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        found.append(
+            f"SELECT doc_id, {i} AS kind, '{r.kind}' AS name, {str(r.base).lower()} AS base, {r.least} AS least, generate_subscripts(m, 1) AS i, unnest(m) AS m, unnest(v) AS v, unnest(gaps[1:len(m)]) AS gap\n"
+            f"  FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS v, string_split_regex(text, '{p}') AS gaps FROM d)"
+        )
+    counts = ", ".join(f"count(*) FILTER (name = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+    names = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES if r.base)
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\nf AS (\n  " + "\n  UNION ALL ".join(found) + "),\n"
+        "p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM f),\n"
+        "s AS (SELECT *, (stop - length(m))::BIGINT AS start, name || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT AS span FROM p WHERE length(v) >= least),\n"
+        f"g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, kind) FILTER (base) AS base_spans, string_agg(span, ',' ORDER BY start, kind) AS spans FROM s GROUP BY doc_id)\n"
+        f"SELECT d.doc_id, {names}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"
+    )
+
+
+SECRETS_SQL = _secrets_sql()
