@@ -8,7 +8,7 @@ together: a hash that stands for one content is that content's verified identifi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, saved, unused
 
 #: Runs of white space that aren't already one space.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -64,14 +64,17 @@ def exact_groups(docs: DataFrame, *, bits: int = 64) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
+    """The rows of docs that stay, with the columns of docs, whatever their names.
+
+    Null text counts as empty. Of rows that repeat doc_id and text one stays; rows of a doc_id with other texts are judged alone.
+    """
+    key, sha, own = unused(docs, "id", "sha", "own_sha")
     found = saved(exact_groups(docs), "exact")
-    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_text_sha256", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha256") == F.col("_sha"))
-    left = keyed.join(stays, same, "left_semi")
+    stays = found.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
+    keyed = docs.withColumn(own, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
+    left = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
     if not found.where("not kept and doc_id <=> keep_id").isEmpty():  # repeated rows
-        left = left.dropDuplicates(["doc_id", "_text_sha256"])
+        left = left.dropDuplicates(["doc_id", own])
     return left.select(*docs.columns)
 
 
