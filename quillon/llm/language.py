@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_mod, documents, saved
+from .common import bound_batches, crc_mod, documents, saved, unused
 
 #: Documents of each language that the model is fitted on, chosen by a hash of doc_id.
 MAX_ROWS = 2_000
@@ -43,17 +43,23 @@ def counts_of(text: str, buckets: int) -> np.ndarray:
 def fit_languages(docs: DataFrame, *, max_rows: int = MAX_ROWS, buckets: int = 1 << 14, max_languages: int = 256):
     """Blocks of (languages, log priors, log probabilities [bucket, language]) from text and lang of rows whose crc32(doc_id) mod 4 isn't 2.
 
-    At most ``max_rows`` documents of each language are read; every language is in one block of at most ``max_languages``. None without any.
+    At most ``max_rows`` documents of each language are read, of rows that repeat a doc_id and lang one (the smallest text); every language is in one block of at most ``max_languages``. None without any.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     usable = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r.lang for r in usable.select("lang").distinct().collect())
+    sizes = saved(usable.groupBy("lang").count(), "languages")
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
     if not languages:
         return None
-    row = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("lang", "doc_id").withColumn("n", row).where(F.col("n") <= max_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    sample = saved(usable.select("doc_id", "lang", "text").join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text"), "language-sample")
+    # A cut by hash leaves about twice the rows wanted of each language, whatever its size; only those are ranked.
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(2**53 - 1)) / float(2**53)
+    few = usable.select("lang", "doc_id", place.alias("place")).join(F.broadcast(sizes), "lang").where(F.col("place") < (2 * max_rows + 100) / F.col("count"))
+    row = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    ids = few.groupBy("lang", "doc_id", "place").agg(F.count(F.lit(1)).alias("n")).withColumn("n", row).where(F.col("n") <= max_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    ids = saved(ids, "language-ids")
+    rows = usable.select("doc_id", "lang", "text").join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    sample = saved(rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text"), "language-sample")
 
     def merge(part):
         total = sum(np.frombuffer(x, np.int64) for x in part.counts)
@@ -87,7 +93,7 @@ def predict_languages(docs: DataFrame, model) -> DataFrame:
     """docs with held_out, lang_pred and score (posterior of lang_pred) added; input columns of these names are replaced.
 
     Every whole text is read. lang_pred is ``und`` with score 0 where the text is null or has no letter, or where
-    nothing could be learned.
+    nothing could be learned. Ties go to the language that sorts first. Each row is predicted by itself, repeated ones alike.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -118,18 +124,19 @@ def predict_languages(docs: DataFrame, model) -> DataFrame:
 
         return predict(F.col("text"))
 
-    kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    p, q = unused(docs, "p", "q")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     first, *others = model or [None]
-    rows = docs.withColumn("_p", scored(first))
+    rows = docs.withColumn(p, scored(first))
     for block in others:
         # A table between blocks: a Python worker holds one block only.
-        both = saved(rows, "language-block").withColumn("_q", scored(block))
-        most = F.greatest("_p.z", "_q.z")
-        mass = F.col("_p.mass") * F.exp(F.col("_p.z") - most) + F.col("_q.mass") * F.exp(F.col("_q.z") - most)
-        best = F.when(F.col("_q.z") > F.col("_p.z"), F.col("_q.lang_pred")).otherwise(F.col("_p.lang_pred"))
-        rows = both.withColumn("_p", F.struct(best.alias("lang_pred"), most.alias("z"), mass.alias("mass"))).drop("_q")
-    return rows.select(*kept, held.alias("held_out"), "_p.lang_pred", (1 / F.col("_p.mass")).alias("score"))
+        both = saved(rows, "language-block").withColumn(q, scored(block))
+        most = F.greatest(f"{p}.z", f"{q}.z")
+        mass = F.col(f"{p}.mass") * F.exp(F.col(f"{p}.z") - most) + F.col(f"{q}.mass") * F.exp(F.col(f"{q}.z") - most)
+        best = F.when(F.col(f"{q}.z") > F.col(f"{p}.z"), F.col(f"{q}.lang_pred")).otherwise(F.col(f"{p}.lang_pred"))
+        rows = both.withColumn(p, F.struct(best.alias("lang_pred"), most.alias("z"), mass.alias("mass"))).drop(q)
+    return rows.select(*kept, held.alias("held_out"), f"{p}.lang_pred", (1 / F.col(f"{p}.mass")).alias("score"))
 
 
 def language_query(spark, sf_dir: str) -> DataFrame:
