@@ -17,11 +17,13 @@ MAX_ROWS = 20_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, target, max_rows: int) -> DataFrame:
     """At most max_rows documents (text, y): ids with the smallest hashes among the labelled ones, one label an id.
 
-    A doc_id labelled twice takes its largest label; null labels and null ids are left out.
+    A doc_id labelled twice takes its largest label; of rows that repeat a doc_id the smallest text counts, so the bound
+    holds for rows too; null labels and null ids are left out.
     """
     ids = labels.withColumn("y", target).where("doc_id is not null and y is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("y").alias("y"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("text", "y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> TextModel:
@@ -48,9 +50,12 @@ def score_quality(docs: DataFrame, model: TextModel) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with the columns of docs."""
-    scored = score_quality(docs.withColumn("_row", F.struct(*docs.columns)), fit_quality(docs, labels))
-    return scored.where("predicted = 1").select("_row.*")
+    """The rows of docs that the classifier doesn't reject, with the columns of docs, whatever their names.
+
+    Null and empty texts are judged as documents without words; repeated rows alike. Without usable labels all rows stay.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
+    return score_quality(rows, fit_quality(docs, labels)).where("predicted = 1").select("_row.*")
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
