@@ -10,6 +10,7 @@ In the metric given by t the step for a document needs its posteriors and the K
 function of posteriors and of the residuals of all steps so far. Each step is one pass that sums K numbers.
 """
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +43,14 @@ class Rates:
     ridge: float
     most: float
     residuals: list[np.ndarray] = field(default_factory=list)
+    #: Share of all tokens that each domain should have and, with the returned rates, has.
+    wanted: dict[str, float] = field(default_factory=dict)
+    achieved: dict[str, float] = field(default_factory=dict)
+
+    def unmet(self, tolerance: float) -> dict[str, tuple[float, float]]:
+        """Domains that miss their target by more than this share of it, or of the total if it is 0: (wanted, achieved)."""
+        total = sum(self.wanted.values())
+        return {d: (w, self.achieved[d]) for d, w in self.wanted.items() if abs(self.achieved[d] - w) > tolerance * (w or total)}
 
     def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rates, next point to evaluate)."""
@@ -54,11 +63,13 @@ class Rates:
         return r, y
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], *, total: float = 1.0, most: float = 4.0, ridge: float = 1e-4, steps: int = 60, tolerance: float = 0.01) -> Rates:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], *, total: float = 1.0, most: float = 4.0, ridge: float = 1e-4, steps: int = 150, tolerance: float = 0.01) -> Rates:
     """members: n_tokens, p0, p1, ... in the order of domains. total: expected tokens wanted, as a share of those there are.
 
-    Targets of domains that the model doesn't know are left out and the others scaled up to sum to 1. Passes end when
-    each domain's tokens are within ``tolerance`` of its target, as a share of it, or of 2 % of all if that is more.
+    Targets of domains that the model doesn't know are left out and the others scaled up to sum to 1. Passes end when,
+    with the rates returned, each domain's tokens are within ``tolerance`` of its target, as a share of it, or when five
+    passes have changed them by less than a tenth of that: the target is out of reach then. A warning names the domains
+    that miss theirs; Rates has what was wanted and achieved.
     """
     k = len(domains)
     names = [f"p{i}" for i in range(k)]
@@ -78,27 +89,38 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     hessian = root[:, None] * np.array([[first[a + b] for b in names] for a in names]) / tokens * root
     rates.eta = 1 / (float(np.linalg.eigvalsh(hessian)[-1]) + ridge)
 
-    def sums(point: int) -> np.ndarray:
+    both = [f"{point}{i}" for point in "ry" for i in range(k)]
+
+    def sums() -> np.ndarray:
+        """Shares of tokens by domain: with the rates so far, and at the next point to evaluate."""
+
         def part(batches):
-            total = np.zeros(k)
+            total = np.zeros((2, k))
             for b in batches:
                 p = b[names].to_numpy(np.float64)
-                total += (b.n_tokens.to_numpy(np.float64) * rates.replay(p)[point]) @ p
-            yield pd.DataFrame([total], columns=names)
+                total += (b.n_tokens.to_numpy(np.float64) * np.stack(rates.replay(p))) @ p
+            yield pd.DataFrame([total.ravel()], columns=both)
 
-        row = numbers.mapInPandas(part, ", ".join(f"{a} double" for a in names)).agg(*(F.sum(a).alias(a) for a in names)).first()
-        return np.array([row[a] for a in names]) / tokens
+        row = numbers.mapInPandas(part, ", ".join(f"{a} double" for a in both)).agg(*(F.sum(a).alias(a) for a in both)).first()
+        return np.array([row[a] for a in both]).reshape(2, k) / tokens
 
     numbers = members.select("n_tokens", *names)
     # Rows of a few numbers: large batches, so that a pass isn't spent on their overhead.
     bound_batches(members.sparkSession, rows=1 << 16)
-    at = m0
-    for _ in range(steps):
-        if np.all(np.abs(at - want) <= tolerance * np.maximum(want, 0.02 * total)):
-            break
-        rates.residuals.append(w * (at - want))
-        at = sums(1)
-    bound_batches(members.sparkSession)
+    have = at = m0
+    slack, past = tolerance * np.where(want > 0, want, total), []
+    try:
+        for _ in range(steps):
+            if np.all(np.abs(have - want) <= slack) or len(past) > 5 and all(np.all(np.abs(have - x) <= slack / 10) for x in past[-6:-1]):
+                break
+            rates.residuals.append(w * (at - want))
+            have, at = sums()
+            past.append(have)
+    finally:
+        bound_batches(members.sparkSession)
+    rates.wanted, rates.achieved = dict(zip(domains, want.tolist())), dict(zip(domains, have.tolist()))
+    if missed := rates.unmet(tolerance):
+        warnings.warn("targets not met (wanted, achieved): " + ", ".join(f"{d} ({a:.4f}, {b:.4f})" for d, (a, b) in missed.items()), stacklevel=2)
     return rates
 
 
@@ -145,7 +167,10 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets=None, domain=None, **how)
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, *, targets=None, domain=None, anchor: str | None = None, **how) -> DataFrame:
-    """The rows of docs, each as often as its copies say, with the columns of docs.
+    """The rows of docs, each as often as its copies say, with the columns of docs, whatever their names.
+
+    Null and empty texts have no tokens, and stay or go by their rate like any other. Rows that repeat a doc_id get the
+    same draw. Without labelled rows, or from an empty table, all rows come back as they are.
 
     anchor: a domain whose tokens set the total, so that it is kept whole and the others are thinned out to it.
     """
@@ -155,7 +180,7 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, *, targets=None, domain=None,
         return docs
     n = len(model.classes)
     # Whole rows are written beside their posteriors: texts are scored once, and the passes of the fit read numbers only.
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")
     members = saved(memberships(rows, model).drop("text"), "members")
     if anchor in model.classes:
         a = f"p{model.classes.index(anchor)}"
