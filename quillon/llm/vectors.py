@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 from .components import components
 
-#: Own members of a cell that one group holds; larger cells are dealt out in blocks.
+#: Members of a cell that one group holds, and candidates that they meet there; larger cells are dealt out in pairs of blocks.
 BLOCK = 2_000
 #: Slack on distances for rounding; it only copies more.
 SLACK = 1e-6
@@ -48,9 +48,11 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
     shares = saved(sizes.select("part", "count", share.alias("n")), "shares")
     split = shares.where("n >= 2").select("part", "n")
     large = reps.join(split.select("part"), "part", "left_semi")
-    row = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("rep"), "rep"))
-    ranked = large.select("part", "rep").withColumn("r", row).where(F.col("r") <= max_pivots)
-    chosen = ranked.join(split, "part").where("r <= n").select("part", "rep", "r")
+    # A cut by hash leaves about twice as many as wanted; only those are ranked.
+    place = F.xxhash64("rep").bitwiseAND(F.lit(2**53 - 1)) / float(2**53)
+    few = large.select("part", "rep", place.alias("place")).join(shares, "part").where(F.col("place") < (2 * F.col("n") + 100) / F.col("count"))
+    row = F.row_number().over(Window.partitionBy("part").orderBy("place", "rep"))
+    chosen = few.withColumn("r", row).where("r <= n").select("part", "rep", "r")
     pivots = saved(chosen.join(reps, ["part", "rep"]).select("part", F.col("r").cast("int").alias("r"), "e"), "pivots")
     by_part: dict = {}
     for p in pivots.orderBy("part", "r").collect():
@@ -79,7 +81,7 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
     extent = spark.sparkContext.broadcast((radius, blocks))
 
     def deal(batches):
-        """Each vector to one block of its own cell as a member, and to every block it can link into as a candidate."""
+        """Groups are pairs (x, y) of a cell's blocks: members of x meet candidates of y. Where x = y members are candidates too."""
         radius, blocks = extent.value
         for b in batches:
             for g, p, d in distances(b):
@@ -96,14 +98,17 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
                 reps_, ms, es = g.rep.to_numpy(), g.m.to_numpy(), list(g.e)
                 for i, k in zip(*to.nonzero()):
                     n = blocks.get((part, int(k)), 0)
-                    at = int(reps_[i]) % n if n and k == own[i] else -1
-                    out += [(part, int(k), q, int(reps_[i]), int(ms[i]), es[i], q == at) for q in range(n)]
-                yield pd.DataFrame(out, columns=["part", "cell", "block", "rep", "m", "e", "own"])
+                    at = int(reps_[i]) % n if n else 0
+                    row = (int(reps_[i]), int(ms[i]), es[i])
+                    out += [(part, int(k), x, at, *row, False) for x in range(n) if x != at or k != own[i]]
+                    out += [(part, int(k), at, y, *row, True) for y in range(n) if k == own[i]]
+                yield pd.DataFrame(out, columns=["part", "cell", "x", "y", "rep", "m", "e", "own"])
 
     def join(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rep", ignore_index=True)
+        g = g.sort_values(["rep", "own"], ignore_index=True)
         x, m, rep = _unit(g.e), g.m.to_numpy(), g.rep.to_numpy()
         own = g.own.to_numpy().nonzero()[0]
+        others = np.arange(len(g)) if g.x.iloc[0] == g.y.iloc[0] else (~g.own.to_numpy()).nonzero()[0]
         parent = np.arange(len(g))
 
         def root(i):
@@ -115,11 +120,10 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
         links = np.zeros(len(g), np.int64)
         for i in range(0, len(own), 256):
             rows = own[i : i + 256]
-            near = x[rows] @ x.T >= least
-            near[np.arange(len(rows)), rows] = True
-            links[rows] = near @ m - 1
+            near = (x[rows] @ x[others].T >= least) | (rows[:, None] == others)
+            links[rows] = near @ m[others]
             for j, k in zip(rows, near):
-                for q in k.nonzero()[0]:
+                for q in others[k.nonzero()[0]]:
                     a, b = root(j), root(q)
                     if a != b:
                         parent[max(a, b)] = min(a, b)
@@ -129,15 +133,21 @@ def link_vectors(table: DataFrame, *, least: float = 0.98, cell: int = 1_000, ma
         forest = pd.DataFrame({"rep": rep[edges], "n_links": 0, "b": rep[roots[edges]], "kind": 1})
         return pd.concat([counted, forest])
 
-    dealt = homes.select("part", "rep", "m", "e").mapInPandas(deal, "part string, cell int, block int, rep long, m long, e array<double>, own boolean")
-    # Parts of one cell: members of one block, candidates of all.
+    dealt = homes.select("part", "rep", "m", "e").mapInPandas(deal, "part string, cell int, x int, y int, rep long, m long, e array<double>, own boolean")
+    # Parts of one cell are dealt out alike.
     n = F.ceil(F.col("count") / BLOCK).cast("int")
-    single = reps.join(shares.where("n < 2").select("part", n.alias("n")), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    own = F.pmod("rep", F.col("n").cast("long")) == F.col("block")
-    dealt = dealt.unionByName(single.select("part", F.lit(0).alias("cell"), "block", F.col("rep").cast("long").alias("rep"), "m", "e", own.alias("own")))
-    got = saved(dealt.groupBy("part", "cell", "block").applyInPandas(join, "rep long, n_links long, b long, kind int"), "vector-links")
+    single = reps.join(shares.where("n < 2").select("part", n.alias("n")), "part").withColumn("at", F.pmod("rep", F.col("n").cast("long")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    to = F.concat(F.transform(every, lambda y: F.struct(F.col("at").alias("x"), y.alias("y"), F.lit(True).alias("own"))), F.transform(F.filter(every, lambda x: x != F.col("at")), lambda x: F.struct(x.alias("x"), F.col("at").alias("y"), F.lit(False).alias("own"))))
+    single = single.withColumn("to", F.explode(to))
+    dealt = dealt.unionByName(single.select("part", F.lit(0).alias("cell"), "to.x", "to.y", F.col("rep").cast("long").alias("rep"), "m", "e", "to.own"))
+    got = saved(dealt.groupBy("part", "cell", "x", "y").applyInPandas(join, "rep long, n_links long, b long, kind int"), "vector-links")
+    shared.destroy()
+    extent.destroy()
+    forget(homes)
     found = components(got.where("kind = 1").select(F.col("rep").alias("a"), "b"))
-    counts = got.where("kind = 0").select("rep", "n_links")
+    # Every vector has met itself once.
+    counts = got.where("kind = 0").groupBy("rep").agg((F.sum("n_links") - 1).alias("n_links"))
     result = reps.select("part", "e", "rep").join(counts, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     result = result.select(F.col("part").alias("_part"), F.col("e").alias("_e"), "n_links", F.coalesce("component_id", "rep").alias("c"))
     linked = good.join(result, (F.col("part") == F.col("_part")) & (F.col("e") == F.col("_e"))).select("vec_id", "n_links", F.col("c").alias("component_id"))
