@@ -4,11 +4,11 @@ from .exact import EXACT_SQL, exact_query
 from .language import language_query
 from .lines import LINES_SQL, lines_query
 from .mixing import mixing_query
-from .near import near_query
+from .near import NEAR_SQL, near_query
 from .packing import packing_query
-from .passages import passages_query
+from .passages import PASSAGES_SQL, passages_query
 from .quality import quality_query
-from .secrets import secrets_query
+from .secrets import SECRETS_SQL, secrets_query
 from .vectors import VECTORS_SQL, vectors_query
 
 QUERIES = {
@@ -27,4 +27,7 @@ ORACLE_SQL = {
     "op4_exact_dedup": EXACT_SQL,
     "op5_line_dedup": LINES_SQL,
     "op6_vector_dedup": VECTORS_SQL,
+    "op7_secrets": SECRETS_SQL,
+    "op8_near_dedup": NEAR_SQL,
+    "op10_passage_dedup": PASSAGES_SQL,
 }
