@@ -19,8 +19,8 @@ from .words import run_hashes, word_hashes
 
 #: Words of an anchor.
 ANCHOR = 8
-#: Windows that the automaton of a shard holds, and segments streamed through one copy of it, at about the most.
-SHARD_WINDOWS, STREAM = 20_000, 20_000
+#: Windows of a shard's automaton, and segments streamed through one copy of it, at about the most.
+SHARD_WINDOWS, STREAM = 20_000, 100_000
 
 
 def encoded(text: str | None) -> bytes:
@@ -50,9 +50,11 @@ def anchors_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-def runs_of(starts: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
-    """starts, cut where they aren't consecutive or where by changes."""
-    return np.split(np.arange(len(starts)), np.flatnonzero((np.diff(starts) != 1) | (np.diff(by) != 0)) + 1) if len(starts) else []
+def run_ends(starts: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of starts, which end where starts aren't consecutive or by changes."""
+    cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(by) != 0))
+    some = min(1, len(starts))
+    return np.concatenate([np.zeros(some, np.int64), cut + 1]), np.concatenate([cut, np.full(some, len(starts) - 1)])
 
 
 def occurrences(patterns: list[tuple[str, list[int], int]], segments: list[tuple[int, int, str]], window: int):
@@ -119,7 +121,7 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
     hits = saved(found_in.groupBy("_id").agg(F.collect_set("anchor").alias("hits")), "recurring-anchors")
     forget(firsts, places, again, found_in)
 
-    @F.pandas_udf("tag long, starts array<int>, anchors array<long>, hashes array<long>, segments array<struct<anchor:bigint,start:int,text:string>>")
+    @F.pandas_udf("tag long, starts array<int>, anchors array<long>, hashes array<long>, first array<int>, runs array<long>, texts array<string>")
     def windows(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
         out = []
         for t, wanted in zip(texts, hits):
@@ -128,9 +130,10 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
             h, at = anchors_of(w, window)
             starts = np.flatnonzero(np.isin(h, np.asarray(wanted, np.int64).view(np.uint64)))
             anchors = h[starts].view(np.int64)
-            cut = [(int(anchors[r[0]]), int(starts[r[0]]), b" ".join(words[starts[r[0]] : starts[r[-1]] + window]).decode()) for r in runs_of(starts, at[starts])]
-            out.append((tag_of(digest_of(w)), starts.astype(np.int32), anchors, run_hashes(w, window)[starts].view(np.int64), cut))
-        return pd.DataFrame(out, columns=["tag", "starts", "anchors", "hashes", "segments"])
+            head, tail = run_ends(starts, at[starts])
+            cut = [b" ".join(words[a:b]).decode() for a, b in zip(starts[head].tolist(), (starts[tail] + window).tolist())]
+            out.append((tag_of(digest_of(w)), starts.astype(np.int32), anchors, run_hashes(w, window)[starts].view(np.int64), starts[head].astype(np.int32), anchors[head], cut))
+        return pd.DataFrame(out, columns=["tag", "starts", "anchors", "hashes", "first", "runs", "texts"])
 
     found = saved(source.select("id", "text").join(hits, F.col("id") == F.col("_id")).select("id", windows("text", "hits").alias("w")).select("id", "w.*").where("size(starts) > 0"), "windows")
     each = found.select("id", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("anchors").alias("anchor"), F.col("hashes").alias("hash"))))
@@ -146,15 +149,20 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
             words, w = data.split(), run_hashes(word_hashes(data), window).view(np.int64)
             rows = [x for x in rows if x["start"] < len(w) and w[x["start"]] == x["hash"]]
             starts, anchors = (np.array([x[k] for x in rows], np.int64) for k in ("start", "anchor"))
-            out.append([(int(anchors[r[0]]), [int(s - starts[r[0]]) for s in starts[r]], b" ".join(words[starts[r[0]] : starts[r[-1]] + window]).decode()) for r in runs_of(starts, anchors)])
+            head, tail = run_ends(starts, anchors)
+            runs = zip(anchors[head].tolist(), starts[head].tolist(), starts[tail].tolist())
+            out.append([(anchor, list(range(b - a + 1)), b" ".join(words[a : b + window]).decode()) for anchor, a, b in runs])
         return pd.Series(out)
 
-    shards = max(1, -(-(examples.agg(F.sum(F.size("all"))).first()[0] or 0) // SHARD_WINDOWS))
+    # As many shards as keep automata and streams small; only an anchor of very many places needs several copies of one.
+    n_windows, n_segments = examples.agg(F.sum(F.size("all"))).first()[0] or 0, found.agg(F.sum(F.size("first"))).first()[0] or 0
+    shards = max(1, -(-n_windows // SHARD_WINDOWS), -(-2 * n_segments // STREAM))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
     known = source.join(examples, F.col("id") == F.col("first_id")).select("first_id", F.inline(patterns("text", "all"))).select("first_id", shard, "offsets", "text")
     known = saved(known.distinct(), "passages")
-    pieces = found.select("id", "tag", F.inline("segments")).select("id", "tag", shard, "start", "text")
-    parts = saved(pieces.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("int").alias("parts")), "shards")
+    cut = F.arrays_zip(F.col("runs").alias("anchor"), F.col("first").alias("start"), F.col("texts").alias("text"))
+    pieces = found.select("id", "tag", F.inline(cut)).select("id", "tag", shard, "start", "text")
+    parts = saved(found.select(F.explode("runs").alias("anchor")).groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("int").alias("parts")), "shards")
 
     def stream(pats: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
         """(id, tag, starts): where a window starts that also starts earlier. All segments of a document around an anchor are here."""
