@@ -44,10 +44,13 @@ def anchors_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     span = window - k + 1
     if len(h) < span:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.empty(len(h) - span + 1, np.int64)
-    for i in range(0, len(at), 1 << 15):
-        at[i : i + (1 << 15)] = np.lib.stride_tricks.sliding_window_view(h[i : i + (1 << 15) + span - 1], span).argmin(axis=1) + np.arange(i, min(len(at), i + (1 << 15)))
-    return h[at], at
+    at, done = np.arange(len(h)), 1
+    while done < span:  # least of 1, 2, 4, ... runs and its place; the left one of equals
+        step = min(done, span - done)
+        right = h[step:] < h[:-step]
+        h, at = np.where(right, h[step:], h[:-step]), np.where(right, at[step:], at[:-step])
+        done += step
+    return h, at
 
 
 def run_ends(starts: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +61,7 @@ def run_ends(starts: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def occurrences(patterns: list[tuple[str, list[int], int]], segments: list[tuple[int, int, str]], window: int):
-    """Yield (segment number, start, pattern number, id of the pattern's first document) wherever a pattern occurs.
+    """Yield (segment number, [(last word, (pattern number, id of its first document))]) of segments where patterns occur.
 
     patterns: (text, offsets of its windows, first id); segments: (id, place of its first word, text).
     """
@@ -77,9 +80,9 @@ def occurrences(patterns: list[tuple[str, list[int], int]], segments: list[tuple
         return
     automaton.make_automaton()
     other = chr(_code(0))
-    for i, (_, start, text) in enumerate(segments):
-        for end, (k, first) in automaton.iter("".join([codes.get(w, other) for w in text.split(" ")])):
-            yield i, start + end - window + 1, k, first
+    for i, (_, _, text) in enumerate(segments):
+        if hits := list(automaton.iter("".join([codes.get(w, other) for w in text.split(" ")]))):
+            yield i, hits
 
 
 def _code(i: int) -> int:
@@ -168,11 +171,16 @@ def repeated_passages(docs: DataFrame, *, window: int = 20) -> DataFrame:
         """(id, tag, starts): where a window starts that also starts earlier. All segments of a document around an anchor are here."""
         segments = list(zip(segs.id.tolist(), segs.start.tolist(), segs.text))
         own, gone = {}, {}
-        for i, start, k, first in occurrences(list(zip(pats.example, pats.offsets, pats.first_id.tolist())), segments, window):
-            if segments[i][0] != first:
-                gone.setdefault(i, []).append(start)
-            else:
-                own.setdefault(k, []).append((start, i))
+        for i, hits in occurrences(list(zip(pats.example, pats.offsets, pats.first_id.tolist())), segments, window):
+            doc, start, _ = segments[i]
+            base = start - window + 1
+            later = [base + end for end, (_, first) in hits if first != doc]
+            if later:
+                gone[i] = later
+            if len(later) < len(hits):
+                for end, (k, first) in hits:
+                    if first == doc:
+                        own.setdefault(k, []).append((base + end, i))
         for places in own.values():  # in the first document all but the first start
             least = min(places)[0]
             for start, i in places:

@@ -56,8 +56,13 @@ def word_hashes(data: bytes) -> np.ndarray:
 def run_hashes(words: np.ndarray, k: int, odd: np.uint64 = ODD) -> np.ndarray:
     """Hash of each run of k consecutive words; empty if there are fewer."""
     n = max(0, len(words) - k + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h *= odd
-        h += words[i : n + i]
+    h, done, power, length = np.zeros(n, np.uint64), 0, words, 1
+    while n and done < k:  # runs of 1, 2, 4, ... words, put together for the bits of k from the right
+        if k & length:
+            at = k - done - length
+            h += power[at : at + n] * np.uint64(pow(int(odd), done, 2**64))
+            done += length
+        if done < k:
+            power = power[:-length] * np.uint64(pow(int(odd), length, 2**64)) + power[length:]
+            length *= 2
     return mixed(h)

@@ -134,7 +134,7 @@ def test_passages_are_decided_by_occurrences():
     """The automaton finds windows of passages in any place, and nothing else."""
     a = " ".join(f"a{i}" for i in range(30))
     found = list(passages.occurrences([(a, [0, 10], 1)], [(5, 100, f"x {a}"), (6, 0, a[4:]), (7, 0, "x y")], 20))
-    assert found == [(0, 101, 0, 1), (0, 111, 1, 1), (1, 9, 1, 1)]
+    assert found == [(0, [(20, (0, 1)), (30, (1, 1))]), (1, [(28, (1, 1))])]
 
 
 def test_lines_with_nulls_repeats_and_long_texts(spark):
