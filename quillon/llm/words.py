@@ -10,6 +10,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes hashed at once, and the length from which words are hashed one by one instead.
 CHUNK, LONG = 1 << 18, 128
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, *range(9, 14)]] = False
@@ -23,10 +24,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _hashed(data: bytes) -> np.ndarray:
-    """One hash a word, from differences of prefix sums of byte values times powers; words of LONG bytes by xxhash."""
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One hash a word, from differences of prefix sums of byte values times powers; words of LONG bytes by xxhash. Where words start and end."""
     if len(data) > 2 * CHUNK:  # holds one huge word
-        return np.array([xxhash.xxh64_intdigest(w) if len(w) >= LONG else int(_hashed(w)[0]) for w in data.split()], np.uint64)
+        found = [(m.start(), m.end()) for m in WORD.finditer(data)]
+        h = [xxhash.xxh64_intdigest(data[i:j]) if j - i >= LONG else int(_hashed(data[i:j])[0][0]) for i, j in found]
+        return np.array(h, np.uint64), *np.array(found, np.int64).reshape(-1, 2).T
     b = np.frombuffer(data, np.uint8)
     word = np.zeros(len(b) + 2, bool)
     word[1:-1] = _IS_WORD[b]
@@ -37,20 +40,28 @@ def _hashed(data: bytes) -> np.ndarray:
     h = mixed((sums[ends] - sums[starts]) * _INVERSE[starts] + lengths.astype(np.uint64) * MIX)
     for i in np.flatnonzero(lengths >= LONG):
         h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
-    return h
+    return h, starts, ends
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, in order."""
+def placed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, in order, and the bytes at which they start and end."""
     out, i = [], 0
     while i < len(data):
         j = len(data)
         if j - i > CHUNK:
             space = SPACE.search(data, i + CHUNK)
             j = space.start() if space else j
-        out.append(_hashed(data[i:j]))
+        h, starts, ends = _hashed(data[i:j])
+        out.append((h, starts + i, ends + i))
         i = j
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, in order."""
+    return placed_words(data)[0]
 
 
 def run_hashes(words: np.ndarray, k: int, odd: np.uint64 = ODD) -> np.ndarray:
