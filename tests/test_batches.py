@@ -5,7 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators import vectors
+from quillon.operators.lexical import top
 from quillon.plans.catalog import QUERIES_BY_NAME
 
 
@@ -43,3 +46,24 @@ def test_vectors_of_ids_divisible_by_100(spark, sf_dir):
     assert {k: s for k, (_, s) in got.items()} == pytest.approx({k: s for k, (_, s) in want.items()}, abs=1e-6)
     near = {(r.query_id, r.vec_id): r.score for r in QUERIES_BY_NAME["semantic_threshold"](spark, sf_dir).collect()}
     assert near == pytest.approx({k: s for k, (_, s) in want.items() if s >= 0.3}, abs=1e-6)
+
+
+def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch):
+    """Many queries make no row for each pair in the plan, and in several blocks give what row by row gives: ties, nulls, lengths, NaN, paths twice."""
+    rng = np.random.default_rng(5)
+    rows = [(f"p{i % 90:02}", [float(x) for x in rng.integers(-3, 4, 3)], i % 7) for i in range(130)]
+    rows += [("n", None, 1), ("m", [1.0, None, 2.0], 2), ("l", [1.0, 2.0], 3), ("e", [], 4), ("x", [float("nan"), 1.0, 1.0], 5), ("y", [float("inf"), 1.0, 0.0], 6), (None, [1.0, 1.0, 1.0], 7)]
+    given = spark.createDataFrame(rows, "path string, embedding array<float>, line_count int")
+    asked = spark.createDataFrame([(i, v) for i, (_, v, _) in enumerate(rows[100:])], "query_id int, vector array<float>")
+    for name, size in (("VECTOR_BLOCK", 40), ("QUERY_BLOCK", 15), ("TILE_QUERIES", 4), ("TILE_VECTORS", 7)):
+        monkeypatch.setattr(vectors, name, size)
+    whole = vectors.vector_search(given, asked, 1000)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner" not in plan
+    best = vectors.in_blocks(given, asked, 6).select("query_id", "path", "raw")
+    row = vectors.by_row(given, asked).select("query_id", "path", "raw")
+    first = lambda df: Counter((r.query_id, r.path, str(r.raw), r.rank) for r in top(df, 6, F.desc("raw"), F.asc("path")).collect())
+    assert first(best) == first(row)
+    assert best.count() < row.count()
+    every = lambda df: Counter((r.query_id, r.path, str(r.raw)) for r in df.collect())
+    assert every(vectors.in_blocks(given, asked, 1000)) == every(row)
