@@ -18,7 +18,7 @@ from ..operators.graph import adjacency, dependency_edges, module_lookup, relate
 from ..operators.incremental import applied, counts, diff
 from ..operators.lexical import fast_search, few, matched_terms, name_score, path_score, top
 from ..operators.vectors import cache_split, cache_stats, vector_search
-from ..sources.tables import saved
+from ..sources.tables import dealt, saved
 
 K = 20
 TERMS = ("thinger", "ouon", "the")
@@ -39,7 +39,7 @@ def asked(spark: SparkSession) -> DataFrame:
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """(relative_path, language, text, size) made of part: two of three Python, the others JavaScript."""
-    p = spark.read.parquet(f"{d}/part.parquet")
+    p = dealt(spark.read.parquet(f"{d}/part.parquet"), "p_partkey")
     k, name = F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("_"))
     brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
     other = ((F.col("p_partkey") * 7 + 1) % 500).cast("string")

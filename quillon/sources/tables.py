@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 _MADE: list[str] = []
+#: Rows of a partition where much is made of each row.
+ROWS_A_PART = 50_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -45,6 +47,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in partitions of bounded size, dealt out by keys: the rows of a small file are one partition, however much work each of them is."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_PART))
+    return df.repartition(parts, *keys)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

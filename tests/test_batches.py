@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators import vectors
 from quillon.operators.lexical import top
-from quillon.plans.catalog import QUERIES_BY_NAME
+from quillon.plans.catalog import QUERIES_BY_NAME, files
+from quillon.sources import tables
 
 
 def test_bm25_of_every_benchmark_text(spark, sf_dir):
@@ -67,3 +68,13 @@ def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch):
     assert best.count() < row.count()
     every = lambda df: Counter((r.query_id, r.path, str(r.raw)) for r in df.collect())
     assert every(vectors.in_blocks(given, asked, 1000)) == every(row)
+
+
+def test_files_are_dealt_out(spark, sf_dir, monkeypatch):
+    """The rows of a file of one row group are not one task, and a task's share doesn't grow with them."""
+    sizes = lambda df: [len(list(x)) for x in df.rdd.glom().collect()]
+    parts = sizes(files(spark, sf_dir).select("relative_path"))
+    assert len(parts) == 4 and max(parts) < sum(parts) / 2
+    monkeypatch.setattr(tables, "ROWS_A_PART", 20)
+    more = sizes(files(spark, sf_dir).select("relative_path"))
+    assert sum(more) == sum(parts) and len(more) == -(-sum(parts) // 20)
