@@ -12,9 +12,12 @@ WEIGHTS = {"keyword": 0.5, "name": 0.3, "path": 0.2}
 FEW_QUERIES, FEW_CELLS = 10_000, 16_000_000
 
 
-def name_score(query: Column, names: Column) -> Column:
-    """Best over names: equal 1, query within name 0.7, name within query 0.5, any query word within name 0.3; 0 if none."""
-    q, tokens = F.lower(query), query_words(query)
+def name_score(query: Column, names: Column, tokens: Column | None = None) -> Column:
+    """Best over names: equal 1, query within name 0.7, name within query 0.5, any query word within name 0.3; 0 if none.
+
+    tokens: the query's words, where they are at hand; else they are split anew for every name of every row.
+    """
+    q, tokens = F.lower(query), query_words(query) if tokens is None else tokens
 
     def one(name):
         n = F.lower(name)
@@ -23,9 +26,9 @@ def name_score(query: Column, names: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(names, one)), F.lit(0.0))
 
 
-def path_score(query: Column, path: Column) -> Column:
+def path_score(query: Column, path: Column, tokens: Column | None = None) -> Column:
     """1 if the whole query is in the path, else 0.6 times the share of query words that are."""
-    p, tokens = F.lower(path), query_words(query)
+    p, tokens = F.lower(path), query_words(query) if tokens is None else tokens
     share = F.size(F.filter(tokens, lambda t: F.contains(p, t))) / F.size(tokens)
     return F.when(F.contains(p, F.lower(query)), 1.0).when(F.size(tokens) == 0, 0.0).otherwise(share * 0.6)
 
@@ -63,8 +66,8 @@ def fast_search(files: DataFrame, queries: DataFrame, k: int, *, posted=None, le
     best = keyword.groupBy("query_id").agg(F.max("bm25").alias("best"))
     keyword = keyword.join(best, "query_id").select("query_id", F.col("id").alias("relative_path"), (F.col("bm25") / F.col("best")).alias("keyword"))
     names = F.concat("functions", "classes")
-    each = files.select("relative_path", "functions", "classes", "imports", "language", "size", "line_count").crossJoin(few(queries.select("query_id", "query")))
-    each = each.withColumns({"name": name_score(F.col("query"), names), "path_s": path_score(F.col("query"), F.col("relative_path"))})
+    each = files.select("relative_path", "functions", "classes", "imports", "language", "size", "line_count").crossJoin(few(queries.select("query_id", "query", query_words("query").alias("tokens"))))
+    each = each.withColumns({"name": name_score(F.col("query"), names, F.col("tokens")), "path_s": path_score(F.col("query"), F.col("relative_path"), F.col("tokens"))}).drop("tokens")
     both = each.join(keyword, ["query_id", "relative_path"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     found = both.where("keyword > 0 or name > 0 or path_s > 0")
     score = WEIGHTS["keyword"] * F.col("keyword") + WEIGHTS["name"] * F.col("name") + WEIGHTS["path"] * F.col("path_s")

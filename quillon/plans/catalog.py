@@ -149,10 +149,11 @@ def fast_composite(spark, d):
 def search_enriched(spark, d):
     """Fused answers with metadata; the files with the most lines and the longest paths stand in for a semantic tier."""
     rows = saved(index_rows(spark, d), "index-rows")
-    fast = fast_search(rows, asked(spark), 10)
+    # The answers of a tier are few and read several times.
+    fast = saved(fast_search(rows, asked(spark), 10), "fast")
     likeness = (F.col("line_count") / 100).alias("score")
     near = rows.select(F.col("relative_path").alias("path"), likeness).crossJoin(few(asked(spark)))
-    near = top(near, 10, F.desc("score"), F.desc(F.length("path")), F.asc("path")).select("query_id", "path", "score", "rank")
+    near = saved(top(near, 10, F.desc("score"), F.desc(F.length("path")), F.asc("path")).select("query_id", "path", "score", "rank"), "near")
     out = enriched(answered(asked(spark), fast, near, 8, 0.3), fast, rows)
     m = F.col("metadata")
     return out.select("query_id", "path", F.round("score", 8).alias("score"), "mode", "rank", F.coalesce("match_type", F.lit("")).alias("match_type"), F.coalesce(F.array_join("matched_terms", "|"), F.lit("")).alias("matched_terms"),

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions.text import query_words
 from quillon.operators import vectors
-from quillon.operators.lexical import top
+from quillon.operators.lexical import name_score, path_score, top
 from quillon.plans.catalog import QUERIES_BY_NAME, files
 from quillon.sources import tables
 
@@ -78,3 +79,13 @@ def test_files_are_dealt_out(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "ROWS_A_PART", 20)
     more = sizes(files(spark, sf_dir).select("relative_path"))
     assert sum(more) == sum(parts) and len(more) == -(-sum(parts) // 20)
+
+
+def test_search_computes_a_tier_once(spark, sf_dir):
+    """Answers come from stored tiers, not from tiers computed at each mention; words of a query are not split at each name."""
+    assert "bm25" not in QUERIES_BY_NAME["search_enriched"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([("get red", ["get_red", "Redo"], "src/red.py"), ("", ["a"], "b"), ("x y", [], "y/z")], "query string, names array<string>, path string").withColumn("tokens", query_words("query"))
+    q, names, path, tokens = (F.col(c) for c in ("query", "names", "path", "tokens"))
+    for r in rows.select(F.array(name_score(q, names), path_score(q, path)), F.array(name_score(q, names, tokens), path_score(q, path, tokens))).collect():
+        assert r[0] == r[1]
+    assert "split" not in str(name_score(q, names, tokens)) + str(path_score(q, path, tokens))
