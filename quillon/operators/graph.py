@@ -4,35 +4,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import LANGUAGE_OF
+from ..sources.tables import saved
 
 
-def module_lookup(files: DataFrame) -> DataFrame:
-    """(key, target): the names that files (relative_path) can be imported by.
-
-    A file's dotted path without its extension outranks the short names (last dotted part, file stem). Of several
-    files with the same dotted path the last by path has it, of several with the same short name the first.
-    """
+def file_names(files: DataFrame) -> DataFrame:
+    """(relative_path, short, key): the dotted path of files (relative_path) without its extension, and their short names."""
     path = F.col("relative_path")
     last = F.regexp_extract(path, r"\.([^./]+)$", 1)
     bare = F.when(last.isin(*LANGUAGE_OF), F.left(path, F.length(path) - F.length(last) - 1)).otherwise(path)
     dotted = F.translate(bare, "/\\", "..")
     stem = F.regexp_extract(F.substring_index(path, "/", -1), r"(?s)^(.+?)(?:\.[^.]+)?$", 1)
     keys = F.array(F.struct(F.lit(0).alias("short"), dotted.alias("key")), F.struct(F.lit(1).alias("short"), F.substring_index(dotted, ".", -1).alias("key")), F.struct(F.lit(1).alias("short"), stem.alias("key")))
-    rows = files.select("relative_path", F.explode(keys).alias("k")).select("relative_path", "k.*")
+    return files.select("relative_path", F.explode(keys).alias("k")).select("relative_path", "k.*")
+
+
+def module_lookup(files: DataFrame) -> DataFrame:
+    """(key, target): the names that files (relative_path) can be imported by.
+
+    A file's dotted path without its extension outranks the short names (last dotted part, file stem). Of several
+    files with the same dotted path the last by path has it, of several with the same short name the first.
+    """
+    return targets(file_names(files))
+
+
+def targets(names: DataFrame) -> DataFrame:
     whole = F.max(F.when(F.col("short") == 0, F.col("relative_path")))
     short = F.min(F.when(F.col("short") == 1, F.col("relative_path")))
-    return rows.groupBy("key").agg(F.coalesce(whole, short).alias("target"))
+    return names.groupBy("key").agg(F.coalesce(whole, short).alias("target"))
 
 
 def dependency_edges(files: DataFrame) -> DataFrame:
-    """files (relative_path, imports) to distinct (src, dst): by the whole import, else by its last part; no self edges."""
-    lookup = module_lookup(files)
-    wanted = files.select(F.col("relative_path").alias("src"), F.explode("imports").alias("i")).withColumn("i", F.replace(F.replace("i", F.lit("/"), F.lit(".")), F.lit("::"), F.lit(".")))
-    wanted = wanted.select("src", "i", F.substring_index("i", ".", -1).alias("l")).distinct()
+    """files (relative_path, imports) to distinct (src, dst): by the whole import, else by its last part; no self edges.
+
+    The distinct imports are resolved, and only the names they ask for are looked up, so that what is joined, sorted and
+    held by a task is their number and not that of the files; stored, for the planner to broadcast them if they are few.
+    """
+    name = lambda i: F.replace(F.replace(i, F.lit("/"), F.lit(".")), F.lit("::"), F.lit("."))
+    wanted = files.select(F.col("relative_path").alias("src"), F.explode(F.array_distinct(F.transform("imports", name))).alias("i"))
+    asked = saved(wanted.select("i").distinct().withColumn("l", F.substring_index("i", ".", -1)), "imports")
+    keys = asked.select(F.explode(F.array("i", "l")).alias("key")).distinct()
+    lookup = targets(file_names(files).join(saved(keys, "import-names"), "key", "left_semi"))
     full = lookup.select(F.col("key").alias("i"), F.col("target").alias("by_full"))
     last = lookup.select(F.col("key").alias("l"), F.col("target").alias("by_last"))
-    found = wanted.join(full, "i", "left").join(last, "l", "left").select("src", F.coalesce("by_full", "by_last").alias("dst"))
-    return found.where("dst is not null and dst <> src").distinct()
+    found = asked.join(full, "i", "left").join(last, "l", "left").select("i", F.coalesce("by_full", "by_last").alias("dst")).where("dst is not null")
+    return wanted.join(saved(found, "resolved-imports"), "i").where("dst <> src").select("src", "dst").distinct()
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

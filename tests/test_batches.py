@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import query_words
 from quillon.operators import vectors
+from quillon.operators.graph import dependency_edges
 from quillon.operators.lexical import name_score, path_score, top
 from quillon.plans.catalog import QUERIES_BY_NAME, files
 from quillon.sources import tables
@@ -89,3 +90,12 @@ def test_search_computes_a_tier_once(spark, sf_dir):
     for r in rows.select(F.array(name_score(q, names), path_score(q, path)), F.array(name_score(q, names, tokens), path_score(q, path, tokens))).collect():
         assert r[0] == r[1]
     assert "split" not in str(name_score(q, names, tokens)) + str(path_score(q, path, tokens))
+
+
+def test_imports_are_resolved_once_each(spark):
+    """Edges join files to their resolved distinct imports; lookups of all names are no part of that plan."""
+    given = [("a/x.py", ["y", "a.y", None, "os"]), ("a/y.py", ["b/y", "x", "y"]), ("b/y.py", ["a::x", "y"]), ("c.py", None), ("d.py", ["q.c", "q/c", "d"])]
+    edges = dependency_edges(spark.createDataFrame(given, "relative_path string, imports array<string>"))
+    assert {tuple(r) for r in edges.collect()} == {("a/x.py", "a/y.py"), ("a/y.py", "b/y.py"), ("a/y.py", "a/x.py"), ("b/y.py", "a/x.py"), ("b/y.py", "a/y.py"), ("d.py", "c.py")}
+    assert edges.count() == 6
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
