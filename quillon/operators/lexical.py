@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keywords import search_terms
 from ..functions.text import query_words
+from ..sources.tables import saved
 from . import bm25
 
 WEIGHTS = {"keyword": 0.5, "name": 0.3, "path": 0.2}
@@ -62,7 +63,8 @@ def fast_search(files: DataFrame, queries: DataFrame, k: int, *, posted=None, le
     Ranked by the unrounded score, ties by path; the score is rounded to four places after ranking.
     """
     asked = queries.select("query_id", query_words("query").alias("terms"))
-    keyword = bm25.search(asked, corpus_of(files)) if posted is None else bm25.scores(asked, posted, lengths, stats)
+    # Scores of a corpus without postings cost a pass over its words, and are read twice.
+    keyword = saved(bm25.search(asked, corpus_of(files)), "keyword-scores") if posted is None else bm25.scores(asked, posted, lengths, stats)
     best = keyword.groupBy("query_id").agg(F.max("bm25").alias("best"))
     keyword = keyword.join(best, "query_id").select("query_id", F.col("id").alias("relative_path"), (F.col("bm25") / F.col("best")).alias("keyword"))
     names = F.concat("functions", "classes")

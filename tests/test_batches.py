@@ -99,3 +99,8 @@ def test_imports_are_resolved_once_each(spark):
     assert {tuple(r) for r in edges.collect()} == {("a/x.py", "a/y.py"), ("a/y.py", "b/y.py"), ("a/y.py", "a/x.py"), ("b/y.py", "a/x.py"), ("b/y.py", "a/y.py"), ("d.py", "c.py")}
     assert edges.count() == 6
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_keyword_scores_are_stored_where_no_postings_are(spark, sf_dir):
+    plan = QUERIES_BY_NAME["fast_composite"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(terms" not in plan and "qtf" not in plan
